@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.common import per_worker
+
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC_AS_LATIN = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -217,7 +219,7 @@ def plain_values(vals: DataFrame, votes: dict[str, str]) -> DataFrame:
     """Adds ``plain``: the value in its one consistent form. One pass over Arrow batches, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer()
+        t = per_worker("transducer", Transducer)
         for b in batches:
             plain = [t.apply(v, votes) for v in b.column("value").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(plain, pa.string())], names=[*b.schema.names, "plain"])

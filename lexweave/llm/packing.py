@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.common import durable
+from lexweave.common import durable, per_worker
 
 CAPACITIES = (512, 1024, 2048)
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -41,7 +41,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     worker from ``tokenizer``, a path that every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_tokenizer(tokenizer)
+        enc = per_worker(("tokenizer", tokenizer), lambda: load_tokenizer(tokenizer))
 
         def count(text: str | None) -> int:
             try:
