@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,3 +104,13 @@ def split_join(left: DataFrame, right: DataFrame, key: str, heavy: list, how: st
         spread = hot_right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         hot = salted.join(spread, [key, "_salt"], how).drop("_salt")
     return cold.unionByName(hot)
+
+
+def per_worker(key: object, build):
+    """What ``build`` makes, once per Python worker process: tables compiled for one task serve the next ones too."""
+    kept = sys.modules.setdefault("_per_worker_tables", types.ModuleType("_per_worker_tables")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        if len(kept) > 16:
+            kept.clear()
+        kept[key] = build()
+    return kept[key]
