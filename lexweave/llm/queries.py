@@ -96,7 +96,7 @@ marked AS (SELECT lemma, total, n_docs, CASE WHEN n_docs > 0.02 * (SELECT n FROM
 _PLACEHOLDERS = ", ".join("'" + p.replace("'", "''") + "'" for p in survivor.PLACEHOLDERS)
 _RANKED = f"""
 src AS (SELECT {_STRIP.format("source")} AS s, min(trust_level) AS trust FROM glossary_source WHERE trim(source) <> '' GROUP BY 1),
-rows_ AS (SELECT {_STRIP.format("g.id")} AS id, entry_id, coalesce(epoch_us(updated_at), -4611686018427387904) AS at, coalesce(src.trust, 1000000) AS trust, src.s IS NOT NULL AS listed,
+rows_ AS (SELECT {_STRIP.format("g.id")} AS id, entry_id, coalesce(epoch_us(updated_at), -4611686018427387904) AS upd, coalesce(src.trust, 1000000) AS trust, src.s IS NOT NULL AS listed,
   regexp_replace({_STRIP.format("definition")}, '[\\s.…!]+$', '') AS def,
   coalesce(len(list_distinct(list_filter(list_transform(synonyms, lambda x: {_STRIP.format("x")}), lambda x: x IS NOT NULL AND x <> ''))), 0) AS n
   FROM test_glossary g LEFT JOIN src ON {_STRIP.format("g.source")} = src.s),
@@ -113,8 +113,8 @@ SELECT first_id, copy_id FROM f WHERE first_id <> copy_id""",
     "p7_found": f"""
 WITH {_RANKED}
 SELECT id,
-  coalesce(arg_max(CASE WHEN meaning THEN entry_id END, CASE WHEN meaning THEN {{'t': -trust, 'a': at, 'e': entry_id}} END), -1) AS definition_from,
-  coalesce(arg_max(CASE WHEN n > 0 THEN entry_id END, CASE WHEN n > 0 THEN {{'n': n, 't': -trust, 'a': at, 'e': entry_id}} END), -1) AS synonyms_from,
-  coalesce(arg_max(CASE WHEN listed THEN entry_id END, CASE WHEN listed THEN {{'a': at, 'e': entry_id}} END), -1) AS source_from
+  coalesce(arg_max(CASE WHEN meaning THEN entry_id END, CASE WHEN meaning THEN {{'t': -trust, 'a': upd, 'e': entry_id}} END), -1) AS definition_from,
+  coalesce(arg_max(CASE WHEN n > 0 THEN entry_id END, CASE WHEN n > 0 THEN {{'n': n, 't': -trust, 'a': upd, 'e': entry_id}} END), -1) AS synonyms_from,
+  coalesce(arg_max(CASE WHEN listed THEN entry_id END, CASE WHEN listed THEN {{'a': upd, 'e': entry_id}} END), -1) AS source_from
 FROM fit GROUP BY id HAVING count(*) >= 2""",
 }
