@@ -13,8 +13,6 @@ ENTITY = T.StructType(
         T.StructField("source", T.StringType()),
     ]
 )
-TERM = T.StructType.fromDDL(
-    "doc_id string, extractor int, seq long, text string, original_text string, lemma string, span_start int, span_end int, score double, pos_tags array<string>, sentence string, frequency int, extractor_type string, properties map<string,string>"
-)
+TERM = "doc_id string, extractor int, seq long, text string, original_text string, lemma string, span_start int, span_end int, score double, pos_tags array<string>, sentence string, frequency int, extractor_type string, properties map<string,string>"
 STATUSES = ("MATCHED", "UNKNOWN", "AMBIGUOUS", "NEAR_MATCH")
 REPORT_TYPES = ("extraction", "processing", "verification", "ontology_update", "quality_gate")
