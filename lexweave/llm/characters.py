@@ -184,8 +184,8 @@ class Transducer:
                 hit, size = text[i], 1
             if out and hit and (pair := table.get(out[-1] + hit)) is not None:
                 out[-1] = pair  # a mark after a letter that was itself replaced
-            elif hit:
-                out.append(hit)
+            else:
+                out.extend(hit)
             i += size
         return "".join(out)
 
