@@ -21,16 +21,18 @@ def count_candidates(candidates: DataFrame, min_freq: int = 1) -> DataFrame:
 
 def score_candidates(counted: DataFrame, nested: bool = True) -> DataFrame:
     """Adds ``score``: log2(length) times (frequency less the mean frequency of the longer terms that hold the text), at
-    least 0; 0 for single words. Terms that hold a text are found by exploding each term's proper parts and an equi-join,
+    least 0; 0 for single words. Terms that hold a text are found by exploding each term's proper parts and grouping,
     so the work grows with the terms, not with their pairs. ``nested=False`` skips this where no text can be nested."""
-    terms = counted
     if nested:
         w = F.split("text", " ")
         n = F.size(w)
         parts = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.array_join(F.slice(w, s, k), " "))))
-        inner = counted.filter(n > 1).select("doc_id", F.col("freq").alias("pf"), F.explode(F.array_distinct(parts)).alias("text"))
-        holders = inner.groupBy("doc_id", "text").agg(F.avg("pf").alias("mean_pf"))
-        terms = counted.join(holders, ["doc_id", "text"], "left")
+        parts = F.when(n > 1, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+        # A term meets the parts of longer terms in one group, so nothing is computed twice and nothing is joined.
+        each = F.concat(F.array(F.struct(F.lit(True).alias("own"), F.col("text").alias("t"))), F.transform(parts, lambda p: F.struct(F.lit(False).alias("own"), p.alias("t"))))
+        rows = counted.select("doc_id", "freq", F.struct("freq", "n_tok", "span_start", "span_end", "occ").alias("me"), F.explode(each).alias("x"))
+        met = rows.groupBy("doc_id", F.col("x.t").alias("text")).agg(F.max(F.when(F.col("x.own"), F.col("me"))).alias("me"), F.avg(F.when(~F.col("x.own"), F.col("freq"))).alias("mean_pf"))
+        terms = met.filter("me IS NOT NULL").select("doc_id", "text", "me.*", "mean_pf")
     else:
         terms = counted.withColumn("mean_pf", F.lit(None).cast("double"))
     raw = F.log2("n_tok") * (F.col("freq") - F.coalesce("mean_pf", F.lit(0.0)))
