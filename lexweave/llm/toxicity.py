@@ -215,7 +215,7 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return key >> BITS, key & ((1 << BITS) - 1), np.concatenate(owner), np.concatenate(lengths)
 
 
-def _regress(j, i, v, y, weight, size, rounds=50, l2=1.0):
+def _regress(j, i, v, y, weight, size, rounds=160, l2=1.0):
     """Logistic regression on sparse (row i, column j, value v) by accelerated gradient steps."""
     n = len(y)
     w, b, mw, mb, k = np.zeros(size), 0.0, np.zeros(size), 0.0, 1.0
