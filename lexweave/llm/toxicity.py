@@ -23,7 +23,8 @@ from lexweave.common import norm_id, per_worker
 SIZES = (3, 4, 5)
 BITS = 19
 LABELLED_DOCS = 1_600
-PASSAGE = 220
+ABUSIVE_SHARE = 0.05
+PASSAGE = 130
 TURNS = 6
 PRIOR = 1.0
 SEEN = 3
@@ -325,12 +326,14 @@ def _typed(fn):
     return fn
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with the best F1; the middle of the gap it falls into, kept between -2 and 6."""
+def best_threshold(scores: np.ndarray, labels: np.ndarray, share: float = ABUSIVE_SHARE) -> float:
+    """The cut with the best F1 in a corpus of which ``share`` is abusive: labelled documents are no random sample, so clean
+    ones count as often as makes that share. The middle of the gap the cut falls into, kept between -2 and 6."""
     order = np.argsort(-scores)
     s, y = scores[order], labels[order]
-    tp = np.cumsum(y)
-    f1 = 2 * tp / (np.arange(1, len(y) + 1) + max(1, y.sum()))
+    weight = max(1.0, (1 - share) / share * y.sum() / max(1, (~y).sum()))
+    tp, fp = np.cumsum(y), np.cumsum(~y) * weight
+    f1 = 2 * tp / (tp + fp + max(1, y.sum()))
     k = int(np.argmax(f1))
     low = s[k + 1] if k + 1 < len(s) and np.isfinite(s[k + 1]) else s[k] - 1
     return float(np.clip((s[k] + low) / 2, -2.0, 6.0))
