@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from lexweave.operators.rules import DEFAULT_PATTERNS, rule_matches
 from lexweave.operators.verify import verify_exact, verify_fuzzy
 from lexweave.plans.config import Config, ConfigError
 from lexweave.sources.files import open_source
-from lexweave.sources.sinks import export_reports
+from lexweave.sources.sinks import export_reports, write_rows
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -27,7 +28,7 @@ class ReportConfig:
     exporters: tuple[str, ...] = ("json",)
     output_dir: str | None = None
     gates: R.QualityGates = R.QualityGates()
-    listed: int = 10_000  # terms that a report's lists may hold in one JSON file; bulk lists go through write_rows
+    listed: int = 10_000  # terms that a report holds itself; longer lists go whole through write_rows into output_dir
 
 
 class Pipeline:
@@ -82,12 +83,19 @@ def pipeline(tagger: Stage | None = None) -> Pipeline:
     return Pipeline(tagger)
 
 
-def _listed(df: DataFrame, n: int) -> list[dict]:
+def _put_terms(report: dict, name: str, df: DataFrame, n: int, config: ReportConfig) -> None:
+    """Adds all ``n`` terms of ``df`` to the report: as the list ``name``, or beyond ``listed`` as JSON lines in output_dir,
+    whose path and count stand under ``<name>_rows``. Without an output_dir the list is always whole."""
     keep = [c for c in ("doc_id", "text", "original_text", "lemma", "score", "pos_tags", "sentence", "frequency", "extractor_type") if c in df.columns]
-    rows = df.select(*keep, F.array("span_start", "span_end").alias("span")).orderBy("doc_id", "text").limit(n + 1).collect()
-    if len(rows) > n:
-        raise ValueError(f"more than {n} terms for one JSON file: raise ReportConfig.listed, or write them with write_rows")
-    return [r.asDict() for r in rows]
+    rows = df.select(*keep, F.array("span_start", "span_end").alias("span")).orderBy("doc_id", "text")
+    if n <= config.listed or not config.output_dir:
+        report[name] = [r.asDict() for r in rows.collect()]
+        return
+    folder = f"file://{Path(config.output_dir).resolve()}"
+    write_rows(rows.withColumn("seq", F.monotonically_increasing_id()), folder, name)
+    if (written := df.sparkSession.read.text(f"{folder}/{name}").count()) != n:
+        raise OSError(f"{written} of {n} terms are in {folder}/{name}: all executors have to share output_dir")
+    report[f"{name}_rows"] = {"path": f"{folder}/{name}", "count": n}
 
 
 def make_reports(rows: DataFrame, config: ReportConfig) -> list[dict]:
@@ -104,10 +112,12 @@ def make_reports(rows: DataFrame, config: ReportConfig) -> list[dict]:
     else:
         r = R.verification_report(rows, ()).first()
         if wanted("verification"):
-            out.append({"report_type": "verification", "total_items": r.total_items, "processed_items": r.processed_items, "coverage_pct": r.coverage_pct, "quality_score": r.quality_score, "unknown_terms": _listed(R.unknown_terms(rows), config.listed), "n_unknown": r.n_unknown})
+            out.append({"report_type": "verification", "total_items": r.total_items, "processed_items": r.processed_items, "coverage_pct": r.coverage_pct, "quality_score": r.quality_score, "n_unknown": r.n_unknown})
+            _put_terms(out[-1], "unknown_terms", R.unknown_terms(rows), r.n_unknown, config)
         unknown = R.ontology_update_report(rows, ()).first()
         if unknown and wanted("ontology_update"):
-            out.append({"report_type": "ontology_update", "total_items": unknown.total_items, "processed_items": unknown.processed_items, "suggested_entities": _listed(R.suggested_terms(rows), config.listed)})
+            out.append({"report_type": "ontology_update", "total_items": unknown.total_items, "processed_items": unknown.processed_items})
+            _put_terms(out[-1], "suggested_entities", R.suggested_terms(rows), unknown.processed_items, config)
         if wanted("quality_gate"):
             v = next((x for x in out if x["report_type"] == "verification"), None)
             ok = bool(v) and v["coverage_pct"] >= config.gates.min_coverage and v["n_unknown"] <= config.gates.max_unknown

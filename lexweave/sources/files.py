@@ -49,10 +49,13 @@ def read_glossary_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
-    """Suggested terms of a report, bare or under ``data``, with the defaults for what is left out; ``seq`` is their order."""
+    """Suggested terms of a report, bare or under ``data``, with the defaults for what is left out; ``seq`` is their order.
+    A list that the report keeps in a folder beside it is read from there."""
     payload = _json(spark, path)
     data = payload.get("data", payload) if isinstance(payload, dict) else {}
     items = data.get("suggested_entities")
+    if items is None and isinstance(kept := data.get("suggested_entities_rows"), dict):
+        return _suggestion_rows(spark, kept["path"])
     if not isinstance(items, list):
         raise ValueError(f"no list 'suggested_entities' in {path}")
     rows = []
@@ -71,6 +74,17 @@ def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, TERM)
 
 
+def _suggestion_rows(spark: SparkSession, path: str) -> DataFrame:
+    fields = [f for f in TERM.split(", ") if f.split()[0] not in ("extractor", "span_start", "span_end", "properties")]
+    rows = spark.read.schema(", ".join([*fields, "span array<int>"])).option("mode", "FAILFAST").json(path)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        F.coalesce("doc_id", F.lit("")).alias("doc_id"), F.lit(0).alias("extractor"), "seq", text.alias("text"), F.coalesce("original_text", text).alias("original_text"), F.coalesce("lemma", text).alias("lemma"),
+        F.col("span")[0].alias("span_start"), F.col("span")[1].alias("span_end"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("pos_tags", F.array().cast("array<string>")).alias("pos_tags"),
+        F.coalesce("sentence", F.lit("")).alias("sentence"), F.coalesce("frequency", F.lit(1)).alias("frequency"), F.coalesce("extractor_type", F.lit("")).alias("extractor_type"), F.create_map().cast("map<string,string>").alias("properties"),
+    )
+
+
 def open_source(spark: SparkSession, path: str) -> DataFrame:
     """A glossary by the file's suffix: .json, .jsonl and .parquet are read, RDF isn't implemented, others raise."""
     suffix = Path(str(path).rstrip("/")).suffix.lower()

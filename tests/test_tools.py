@@ -125,3 +125,21 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     stream_documents(stream, extract_cvalue, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["machine learning"]
+
+
+def test_long_lists_go_whole_to_rows(spark, folder):
+    docs = files.read_texts(spark, str(folder / "doc.txt"))
+    glossary = files.read_glossary(spark, str(folder / "g.json"))
+    made = lambda **kw: {r["report_type"]: r for r in pipeline().with_cvalue(threshold=0).normalize().verify(glossary).report(ReportConfig(**kw)).run_and_collect(docs)}
+    short, long, held = made(output_dir=str(folder / "short")), made(output_dir=str(folder / "long dir"), listed=1), made(listed=1)
+    for kind, name in (("verification", "unknown_terms"), ("ontology_update", "suggested_entities")):
+        terms = short[kind][name]
+        assert len(terms) == 2 and held[kind][name] == terms and name not in long[kind]
+        kept = json.loads((folder / f"long dir/{kind}.json").read_text())["data"][f"{name}_rows"]
+        assert kept["count"] == 2 and kept == long[kind][f"{name}_rows"]
+        rows = spark.read.json(kept["path"]).orderBy("seq").collect()
+        assert [(r.text, list(r.span), r.score) for r in rows] == [(t["text"], t["span"], t["score"]) for t in terms]
+    assert long["quality_gate"] == short["quality_gate"] and long["verification"]["coverage_pct"] == 50.0
+    for name in ("short", "long dir"):
+        assert cli.main(["glossary", "from-report", "--report", str(folder / name / "ontology_update.json"), "--out", str(folder / f"{name}.json")], spark) == 0
+    assert json.loads((folder / "short.json").read_text()) == json.loads((folder / "long dir.json").read_text())
