@@ -1,12 +1,17 @@
-"""Terms by part-of-speech patterns. Each pattern is compiled to a regular expression over one letter per token."""
+"""Terms by part-of-speech patterns. Each pattern is compiled to a regular expression over one letter per token; where some
+pattern is open, all become one automaton that follows each document."""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The patterns used by default.
 DEFAULT_PATTERNS = (
@@ -18,12 +23,12 @@ DEFAULT_PATTERNS = (
 )
 # A letter for each universal part of speech.
 CODES = dict(zip("ADJ ADP ADV AUX CCONJ DET INTJ NOUN NUM PART PRON PROPN PUNCT SCONJ SYM VERB X SPACE".split(), "abcdefghijklmnopqs"))
-MAX_OPEN = 8
+SPAN_TOKENS = 200_000  # tokens of the spans that one Arrow batch holds
 
 
-def compile_pattern(pattern) -> tuple[str, int, int]:
+def compile_pattern(pattern) -> tuple[str, int, int | None]:
     """(regular expression, fewest tokens, most tokens). Keys POS, IS_PUNCT and OP are understood; others raise. An open
-    pattern (OP + or *) reaches MAX_OPEN tokens further."""
+    pattern (OP + or *) has no most."""
     out, low, high = "", 0, 0
     for token in pattern:
         rest = dict(token)
@@ -43,24 +48,110 @@ def compile_pattern(pattern) -> tuple[str, int, int]:
             one = f"(?:(?!{one})..)"
         out += one + (op if op in "+*?" else "")
         low += op in "1+!"
-        high += MAX_OPEN if op in "+*" else 1
+        high += 1
     if not high:
         raise ValueError("empty pattern")
-    return f"^{out}$", max(1, low), high
+    return f"^{out}$", max(1, low), None if any(x.get("OP") in ("+", "*") for x in pattern) else high
 
 
-def rule_matches(tokens: DataFrame, documents: DataFrame | None = None, patterns=DEFAULT_PATTERNS, score: float = 0.5, extractor: int = 0) -> DataFrame:
-    """Terms in the columns of the C-value extractor: every window of a document's tokens that some pattern matches, sentence
-    ends notwithstanding, each span once. Spans are token indices, end exclusive. ``tokens`` need ``pos``.
+class Automaton:
+    """All patterns in one automaton, whose states are bit sets, made as they occur. Unlike windows it follows a span as
+    far as some pattern can go on, so open patterns have no bound."""
 
-    The text is that of the document between the tokens' offsets if ``documents`` are given, else the tokens joined by blanks.
-    """
-    if "pos" not in tokens.columns:
-        raise ValueError("the rule extractor needs parts of speech: give a tagger")
-    compiled = [(k, *compile_pattern(p)) for k, p in enumerate(patterns)]
+    def __init__(self, patterns) -> None:
+        self.steps: list[tuple[str, object, str]] = []  # (key, value, OP) at each bit; a + is the token and a * of it
+        self.begin, self.ends = 0, []
+        for pattern in patterns:
+            self.begin |= 1 << len(self.steps)
+            for token in pattern:
+                rest = dict(token)
+                op = rest.pop("OP", "1")
+                (key, value), = rest.items()
+                self.steps += [(key, value, "1"), (key, value, "*")] if op == "+" else [(key, value, op)]
+            self.ends.append(len(self.steps))
+            self.steps.append(("", None, "end"))
+        self.begin, self.next = self._skip(self.begin), {}
+
+    def _skip(self, state: int) -> int:
+        for bit, (_, _, op) in enumerate(self.steps):
+            if state >> bit & 1 and op in "?*":
+                state |= 1 << bit + 1
+        return state
+
+    def _step(self, state: int, code: str) -> tuple[int, int]:
+        """The state after a token and the first pattern that ends with it, or -1."""
+        out = 0
+        for bit, (key, value, op) in enumerate(self.steps):
+            if op != "end" and state >> bit & 1:
+                fits = code[0] == CODES[value] if key == "POS" else code[1] == "01"[value]
+                if fits != (op == "!"):
+                    out |= 1 << bit + (op != "*")
+        out = self._skip(out)
+        return out, next((k for k, bit in enumerate(self.ends) if out >> bit & 1), -1)
+
+    def spans(self, codes: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(start, tokens, first pattern) of every span that some pattern matches."""
+        for start in range(len(codes)):
+            state = self.begin
+            for at in range(start, len(codes)):
+                known = self.next.get((state, codes[at]))
+                if known is None:
+                    known = self.next[state, codes[at]] = self._step(state, codes[at])
+                state, k = known
+                if k >= 0:
+                    yield start, at - start + 1, k
+                if not state:
+                    break
+
+
+def _follow(tokens: DataFrame, patterns) -> DataFrame:
+    """(doc_id, tok_idx, sent_id, char_start, ts, n, k) of every span, for patterns without a longest window: tokens sorted by
+    document stream through the automaton. A task holds one document and SPAN_TOKENS tokens of its spans."""
+    t = tokens.select("doc_id", "tok_idx", "sent_id", "char_start", F.struct("token", "lemma", "pos", "char_end").alias("t"), "code")
+    schema = T.StructType([*t.schema.fields[:4], T.StructField("ts", T.ArrayType(t.schema["t"].dataType)), T.StructField("n", T.IntegerType()), T.StructField("k", T.IntegerType())])
+
+    def rows(doc: pa.Table, found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        start, n, k = np.array(found, np.int64).T
+        ends = np.cumsum(n)
+        places = np.repeat(start - (ends - n), n) + np.arange(ends[-1])
+        values = doc.column("t").combine_chunks().take(pa.array(places))
+        columns = [doc.column(c).combine_chunks().take(pa.array(start)) for c in ("doc_id", "tok_idx", "sent_id", "char_start")]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+        return pa.RecordBatch.from_arrays([*columns, lists, pa.array(n, pa.int32()), pa.array(k, pa.int32())], names=["doc_id", "tok_idx", "sent_id", "char_start", "ts", "n", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, held = Automaton(patterns), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            doc, found, size = pa.Table.from_batches(held), [], 0
+            for span in automaton.spans(doc.column("code").to_pylist()):
+                found.append(span)
+                size += span[1]
+                if size >= SPAN_TOKENS:
+                    yield rows(doc, found)
+                    found, size = [], 0
+            if found:
+                yield rows(doc, found)
+
+        last = None
+        for b in batches:
+            ids, a = b.column(0).to_pylist(), 0
+            for z in range(1, len(ids) + 1):
+                if z == len(ids) or ids[z] != ids[a]:
+                    if held and ids[a] != last:
+                        yield from flush()
+                        held.clear()
+                    held.append(b.slice(a, z - a))
+                    last, a = ids[a], z
+        if held:
+            yield from flush()
+
+    return t.repartition("doc_id").sortWithinPartitions("doc_id", "tok_idx").mapInArrow(run, schema)
+
+
+def _windows(t: DataFrame, compiled: list[tuple[int, str, int, int]]) -> DataFrame:
+    """(doc_id, tok_idx, sent_id, char_start, ts, n, k) of every span, for patterns with a longest window."""
     most = max(high for *_, high in compiled)
-    code = reduce(lambda c, x: c.when(F.col("pos") == x[0], x[1]), CODES.items(), F.when(F.lit(False), "z")).otherwise("z")
-    t = tokens.withColumn("code", F.concat(code, F.when(F.col("is_punct"), "1").otherwise("0")))
     w = Window.partitionBy("doc_id").orderBy("tok_idx")
     ahead = w.rowsBetween(0, most - 1)
     wide = t.select("doc_id", "tok_idx", "sent_id", "char_start", F.concat_ws("", F.collect_list("code").over(ahead)).alias("codes"), F.collect_list(F.struct("token", "lemma", "pos", "char_end")).over(ahead).alias("ts"))
@@ -71,7 +162,24 @@ def rule_matches(tokens: DataFrame, documents: DataFrame | None = None, patterns
     ]
     hits = wide.withColumn("hits", F.array_compact(F.array(*spans))).filter(F.size("hits") > 0)
     once = F.array_distinct(F.transform("hits", lambda h: h["n"]))
-    rows = hits.select("*", F.explode(once).alias("n")).withColumn("k", F.array_min(F.transform(F.filter("hits", lambda h: h["n"] == F.col("n")), lambda h: h["k"]))).withColumn("ts", F.slice("ts", F.lit(1), F.col("n")))
+    return hits.select("*", F.explode(once).alias("n")).withColumn("k", F.array_min(F.transform(F.filter("hits", lambda h: h["n"] == F.col("n")), lambda h: h["k"]))).withColumn("ts", F.slice("ts", F.lit(1), F.col("n")))
+
+
+def rule_matches(tokens: DataFrame, documents: DataFrame | None = None, patterns=DEFAULT_PATTERNS, score: float = 0.5, extractor: int = 0) -> DataFrame:
+    """Terms in the columns of the C-value extractor: every window of a document's tokens that some pattern matches, sentence
+    ends notwithstanding, each span once. Spans are token indices, end exclusive. ``tokens`` need ``pos``.
+
+    The text is that of the document between the tokens' offsets if ``documents`` are given, else the tokens joined by blanks.
+    """
+    if "pos" not in tokens.columns:
+        raise ValueError("the rule extractor needs parts of speech: give a tagger")
+    compiled = [(k, *compile_pattern(p)) for k, p in enumerate(patterns)]
+    code = reduce(lambda c, x: c.when(F.col("pos") == x[0], x[1]), CODES.items(), F.when(F.lit(False), "z")).otherwise("z")
+    t = tokens.withColumn("code", F.concat(code, F.when(F.col("is_punct"), "1").otherwise("0")))
+    if any(high is None for *_, high in compiled):
+        rows = _follow(t, patterns)
+    else:
+        rows = _windows(t, compiled)
     text = F.array_join(F.transform("ts", lambda x: x["token"]), " ")
     if documents is not None:
         rows = rows.join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -125,6 +126,28 @@ def test_rules(spark):
         rules.rule_matches(t.drop("pos"))
 
 
+def test_open_patterns_have_no_longest_run(spark, monkeypatch):
+    run = tagged(spark, [(f"w{k}", "NOUN") for k in range(30)] + [("is", "VERB"), ("end", "NOUN")])
+    monkeypatch.setattr(rules, "SPAN_TOKENS", 100)
+    got = {(r.span_start, r.span_end) for r in rules.rule_matches(run, patterns=[[{"POS": "NOUN", "OP": "+"}]]).collect()}
+    assert got == {(a, z) for a in range(30) for z in range(a + 1, 31)} | {(31, 32)}
+    r = random.Random(4)
+    pos = {d: [r.choice(["NOUN", "NOUN", "NOUN", "ADJ", "VERB", "PUNCT", "OTHER"]) for _ in range(40)] for d in range(3)}
+    pos[0][5:25] = ["NOUN"] * 20
+    t = tagged(spark, [(f"t{k}", p) for k, p in enumerate(pos[0])], doc=0).union(tagged(spark, [(f"t{k}", p) for k, p in enumerate(pos[1])], doc=1)).union(tagged(spark, [(f"t{k}", p) for k, p in enumerate(pos[2])], doc=2))
+    patterns = [[{"POS": "ADJ", "OP": "*"}, {"POS": "NOUN", "OP": "+"}], [{"POS": "NOUN", "OP": "*"}, {"IS_PUNCT": True, "OP": "?"}, {"POS": "NOUN"}], [{"POS": "VERB"}, {"POS": "NOUN", "OP": "!"}, {"IS_PUNCT": False, "OP": "*"}]]
+    code = lambda p: rules.CODES.get(p, "z") + str(int(p == "PUNCT"))
+    want = {}
+    for d, ps in pos.items():
+        for a in range(40):
+            for z in range(a + 1, 41):
+                hit = [k for k, p in enumerate(patterns) if re.search(rules.compile_pattern(p)[0], "".join(map(code, ps[a:z])))]
+                if hit:
+                    want[d, a, z] = (zlib.crc32(repr(patterns[hit[0]]).encode()), " ".join(f"t{k}" for k in range(a, z)), ps[a:z])
+    rows = rules.rule_matches(t, patterns=patterns).collect()
+    assert len(rows) == len(want) and {(x.doc_id, x.span_start, x.span_end): (x.pattern_id, x.text, x.pos_tags) for x in rows} == want
+
+
 def entities(spark, *rows):
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], ENTITIES)
 
