@@ -4,7 +4,8 @@ Each level contracts the chains inside every partition to their exits (the first
 keeps of the contracted nodes only those that are exits of others (the quotient forest), solves that forest in the same
 way and expands the fragments' paths with its answer. A coin per node puts a child beside its parent for a quarter of all
 links at least, so chains of any shape shrink by a constant factor a level; once the forest fits one fragment, a single
-task ends the recursion. The number of levels is logarithmic, and nothing but row counts comes to the driver.
+task ends the recursion. The first level has as many fragments as the session has shuffle partitions, at least. The number
+of levels is logarithmic, and nothing but row counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.common import durable, heavy_keys, non_blank, norm_id, split_join
+from lexweave.common import durable, heavy_keys, non_blank, norm_id, partitions_for, split_join
 
 FRAGMENT_ROWS = 250_000
 
@@ -87,11 +88,12 @@ def _contract(batches: Iterator[pd.DataFrame], with_path: bool) -> Iterator[pd.D
         yield block
 
 
-def solve(links: DataFrame, with_path: bool = False, fragment_rows: int = FRAGMENT_ROWS, level: int = 0) -> DataFrame:
+def solve(links: DataFrame, with_path: bool = False, fragment_rows: int = FRAGMENT_ROWS, level: int = 0, least: int = 1) -> DataFrame:
     """(node, root, depth, looped[, steps]) for every child of ``links(child, parent, hops, steps)``: ``root`` is the end
-    of its chain, ``steps`` the nodes between, nearest first. A chain that runs into a cycle has ``looped`` true."""
+    of its chain, ``steps`` the nodes between, nearest first. A chain that runs into a cycle has ``looped`` true. This level has ``least`` fragments
+    or more, those below as few as hold ``fragment_rows`` links each."""
     n = links.count()
-    parts = max(1, -(-n // fragment_rows))
+    parts = max(1, min(n, least), -(-n // fragment_rows))
     if parts == 1:
         placed = links.coalesce(1)
     else:
@@ -130,7 +132,7 @@ def hierarchy(entries: DataFrame, with_path: bool = False, fragment_rows: int =
     links = durable(declared_links(entries))
     empty = F.array().cast("array<string>")
     weighted = links.select("child", "parent", F.lit(1).cast("long").alias("hops"), *[empty.alias("steps")] * with_path)
-    solved = solve(weighted, with_path, fragment_rows)
+    solved = solve(weighted, with_path, fragment_rows, least=partitions_for(links))
     bad = F.col("looped")
     path = F.when(~bad, F.reverse(F.concat(F.array("node"), "steps", F.array("root"))))
     below = solved.select(

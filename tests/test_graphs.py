@@ -96,3 +96,16 @@ def test_descendants_and_empty(spark):
     rows = [("a", None, 0, None), ("b", {"hyperonym": ["a"]}, 0, None), ("c", {"hyperonym": ["b"]}, 0, None)]
     assert {tuple(x) for x in H.descendants(table(spark, rows)).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
     assert H.hierarchy(table(spark, [])).count() == 0
+
+
+def test_small_forests_are_dealt_too(spark, monkeypatch):
+    levels, solve = [], H.solve
+
+    def watched(links, with_path=False, fragment_rows=H.FRAGMENT_ROWS, level=0, **kw):
+        levels.append(level)
+        return solve(links, with_path, fragment_rows, level, **kw)
+
+    monkeypatch.setattr(H, "solve", watched)
+    rows = [(f"n{k}", {"hyperonym": [f"n{k - 1}"]}, 0, None) for k in range(60)] + [("x", {"hyperonym": ["y"]}, 0, None), ("y", {"hyperonym": ["x"]}, 0, None)]
+    assert {x.id: (x.root_id, x.depth) for x in H.hierarchy(table(spark, rows)).collect()} == brute_tree(rows)
+    assert levels == [0, 1]
