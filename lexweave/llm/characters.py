@@ -116,6 +116,7 @@ class Transducer:
         self.invisible = regex.compile("[" + regex.escape("".join(c for c, v in base.items() if not v)) + "]+")
         self.word = regex.compile(r"[\p{L}\p{M}\p{Cf}Ⅰ-ⅿ" + regex.escape(INVISIBLE) + "]+")
         self.one_script = regex.compile(r"[\p{Latin}\p{M}\p{Cf}]+|[\p{Cyrillic}\p{M}\p{Cf}]+|[\p{Greek}\p{M}\p{Cf}]+")
+        self.ascii_either = regex.compile(rf"(?<![A-Za-z])[{''.join(sorted(c for c in self.either if c.isascii()))}]++(?![A-Za-z])")
         # Russian and plain signs only, each word with a letter that no Latin one looks like: nothing to replace.
         sure = "".join(sorted(set("абвгдеёжзийклмнопрстуфхцчшщъыьэюя" + "абвгдеёжзийклмнопрстуфхцчшщъыьэюя".upper()) - self.russian))
         self.plain = regex.compile(rf"(?:[\x00-\x40\x5b-\x60\x7b-\x7f«»“”„–—…№]|[{''.join(self.russian)}]*+[{sure}][а-яёА-ЯЁ]*+(?![A-Za-z]))*+")
@@ -154,7 +155,10 @@ class Transducer:
     def apply(self, value: str, votes: dict[str, str]) -> str:
         """The value in plain form. ``votes`` names the usual script of words whose letters could be of either; such a word
         without a vote follows the other words' script if it mixes both, and else stays as it is."""
-        if value.isascii() or self.plain.fullmatch(value):
+        if value.isascii():
+            if not any(votes.get(m[0].lower()) == "C" for m in self.ascii_either.finditer(value)):
+                return value
+        elif self.plain.fullmatch(value):
             return value
         words = [m.span() for m in self.word.finditer(value)]
         scripts = [self.script(value[a:b]) for a, b in words]
@@ -197,22 +201,35 @@ def values(text_entity: DataFrame, test_glossary: DataFrame) -> DataFrame:
     return a.unionByName(b).filter("value IS NOT NULL")
 
 
-_EITHER = "асеорхуАВСЕНКМОРТХУacopexyABCEHKMOPTXY"
+def _skeletons(t: Transducer) -> tuple[dict[str, str], str]:
+    """The Latin letter in the skeleton of a word for every letter that may stand for one of either script, and letters that vanish."""
+    base, letters, gone = t.maps[""], {}, ""
+    for c in {*map(chr, (*range(0xD800), *range(0xE000, 0x10000))), *(k for k in base if len(k) == 1)}:
+        if t.word.fullmatch(c) and not regex.match(r"[\p{M}\p{Cf}]", c):
+            x = unicodedata.normalize("NFD", base.get(c, c))[:1]
+            if not x:
+                gone += c
+            elif (one := CYRILLIC_AS_LATIN.get(x, x) if x in t.either else GREEK_AS_LATIN.get(x, "")) and len(one) == 1:
+                letters[c] = one.lower()
+    return letters, gone
 
 
 def script_votes(vals: DataFrame, bound: int = 50_000) -> dict[str, str]:
-    """The usual script of each word whose letters could be Latin or Russian, where both writings occur: what most of all
-    values use. Counts come from all values. Only words written both ways come to the driver; beyond ``bound`` of them an
-    error names the parameter, so nothing is dropped."""
-    words = vals.select(F.explode(F.regexp_extract_all(F.regexp_replace("value", r"\p{Cf}", ""), F.lit(rf"(?<![\p{{L}}\p{{M}}])([{_EITHER}]+)(?![\p{{L}}\p{{M}}])"), F.lit(1))).alias("w"))
+    """The usual script of each word whose letters could be Latin or Russian, where it is written in more than one way (in
+    one script, in both mixed, with Greek, accented or wide letters): what most of all values use of the two plain ones.
+    Counts come from all values. Only words written in several ways come to the driver; beyond ``bound`` of them an error
+    names the parameter, so nothing is dropped."""
+    letters, gone = _skeletons(Transducer())
+    alike = "".join(sorted(letters))
+    words = vals.select(F.explode(F.regexp_extract_all(F.regexp_replace("value", rf"[\p{{Cf}}{gone}]", ""), F.lit(rf"(?<![\p{{L}}\p{{M}}])([{alike}\p{{M}}]++)(?!\p{{L}})"), F.lit(1))).alias("w"))
     russian, latin = "асеорхуАВСЕНКМОРТХУ", "aceopxyABCEHKMOPTXY"
-    key = F.lower(F.translate("w", russian, latin))
+    key = F.translate(F.regexp_replace("w", r"\p{M}", ""), alike, "".join(letters[c] for c in alike))
     is_latin, is_russian = F.col("w").rlike(f"^[{latin}]+$"), F.col("w").rlike(f"^[{russian}]+$")
     counts = words.groupBy(key.alias("k")).agg(F.count_if(is_latin).alias("l"), F.count_if(is_russian).alias("c"), F.count("*").alias("n"))
-    rows = counts.filter("(l > 0) = (c < n) AND n > 0 AND (c > 0 OR l < n)").select("k", "l", "c").limit(bound + 1).collect()
+    rows = counts.filter("l < n AND c < n AND l <> c").limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} words are written in both scripts: raise bound")
-    return {r.k: "L" if r.l >= r.c else "C" for r in rows if r.l != r.c}
+    return {r.k: "L" if r.l > r.c else "C" for r in rows}
 
 
 def plain_values(vals: DataFrame, votes: dict[str, str]) -> DataFrame:

@@ -55,6 +55,19 @@ def test_lookalikes_found(spark):
     assert characters.lookalikes_found(e.limit(0), g.limit(0)).count() == 0
 
 
+def test_votes_of_words_in_several_writings(spark):
+    rows = ["реестр", "pеестр", "МРТ", "МРТ", "MPT", "мост", "сор", "хор", "cop", "cop", "сoр", "ток", "рост", "ОКО", "ОКО", "ОΚО"]
+    vals = characters.values(te(spark, *[(1, 0, 1, None, v, None, None, None) for v in [*rows, "сор", "сор", "cор", "тост", "осё", "РОСТ", "ех", "ех", "eх"]]), tg(spark))
+    votes = characters.script_votes(vals)
+    assert votes == {"mpt": "C", "cop": "C", "oko": "C", "ex": "C"}  # ex has no Latin writing; the Greek K of oko is one more
+    plain = {r.value: r.plain for r in characters.plain_values(vals, votes).collect()}
+    assert (plain["MPT"], plain["eх"], plain["cop"], plain["сoр"], plain["ОΚО"]) == ("МРТ", "ех", "сор", "сор", "ОКО")
+    assert characters.Transducer().apply("core MPTs", votes) == "core MPTs"
+    with pytest.raises(ValueError):
+        characters.script_votes(vals, 3)
+    assert len(characters.script_votes(vals, 4)) == 4  # words written in Russian only don't count
+
+
 # 4 and 6
 @pytest.mark.parametrize("seed", range(3))
 def test_runs_across_partitions(spark, seed):
