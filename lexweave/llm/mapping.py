@@ -4,7 +4,8 @@ The reference's labels and synonyms are forms: multisets of words. Words of a va
 BK-tree of the reference's words (and, for values typed without spaces, of its joined forms) with a radius of two edits;
 of the answers an edit of one letter, one exchange of neighbours, an inflection or a marked abbreviation counts. A value
 stands for a form if its words and the form's match one to one; the cheapest entry wins. A word that the reference knows
-is never read as another one, and a word left over means something else.
+is never read as another one, and a word left over means something else. Slips count in words of at least four letters in
+the reference; neither the words of a value nor their letters nor their candidates are otherwise limited.
 
 Rows are mapped where they lie: no shuffle, no pairs. A reference above ``forms_at_once`` forms is sharded by entry; each
 shard's winners then merge by a minimum per row.
@@ -18,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import product
+from math import inf, prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ KEYS = dict(zip("qwertyuiop[]asdfghjkl;'zxcvbnm,.`", "йцукенгшщзхъф
 # Endings by which Russian word forms differ, the empty one included.
 ENDINGS = frozenset("а я о е и ы у ю ь й ов ев ей ам ям ом ем ём ой ах ях ами ями ого его ому ему ый ий ая яя ое ее ые ие ых их ым им ую юю ью ия ию ии ием иям иями иях".split()) | {""}
 RUSSIAN = re.compile("[а-я]")
+CHOICES = 1_000  # choices of candidates that are tried one by one; of more, forms are looked up and assigned
 
 
 def clean(value: str) -> str:
@@ -61,11 +64,42 @@ def inflected(word: str, known: str) -> bool:
     return word in (known + "s", known + "es", known + "'s") or known.endswith("y") and word == known[:-1] + "ies"
 
 
+def cheapest(costs: list[list[float]]) -> float:
+    """Sum of the cheapest one-to-one assignment of rows to columns of a square matrix (Hungarian method), inf without one."""
+    if any(min(row) == inf for row in costs):
+        return inf
+    n, never = len(costs), 1e6
+    rows, cols, taken = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        taken[0], at, least, back, seen = i, 0, [inf] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while taken[at]:
+            seen[at], row, step, to = True, taken[at], inf, 0
+            for j in range(1, n + 1):
+                if not seen[j]:
+                    d = min(costs[row - 1][j - 1], never) - rows[row] - cols[j]
+                    if d < least[j]:
+                        least[j], back[j] = d, at
+                    if least[j] < step:
+                        step, to = least[j], j
+            for j in range(n + 1):
+                if seen[j]:
+                    rows[taken[j]] += step
+                    cols[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+        while at:
+            taken[at], at = taken[back[at]], back[at]
+    chosen = sorted((taken[j], costs[taken[j] - 1][j - 1]) for j in range(1, n + 1))
+    return sum(c for _, c in chosen)
+
+
 class Reference:
     """Compiled forms of some entries; ``known`` are the words of all entries."""
 
     def __init__(self, forms: list[tuple[str, str]], known: set[str]) -> None:
         self.by_words: dict[tuple[str, ...], str] = {}
+        self.by_word: dict[tuple[int, str], list[tuple[str, ...]]] = {}  # forms by their number of words and each word
         self.joined: dict[str, str] = {}
         self.latin: dict[str, list[str]] = {}
         self.words: set[str] = set()
@@ -77,6 +111,7 @@ class Reference:
             if len(ws) > 1:
                 self.joined.setdefault("".join(ws), entry)
             self.words.update(ws)
+        self.sizes = set(map(len, self.by_words))
         for w in self.words:
             if RUSSIAN.match(w):
                 self.latin.setdefault("".join(LATIN.get(c, c) for c in w), []).append(w)
@@ -98,7 +133,8 @@ class Reference:
 
     def _search(self, words: set[str]) -> None:
         """Fills ``near`` for words that the reference doesn't have."""
-        todo = sorted(w for w in words if w not in self.near and 3 < len(w) <= 40)
+        longest = max(map(len, self.tree.words), default=0) + 2  # longer words are out of the radius
+        todo = sorted(w for w in words if w not in self.near and 3 <= len(w) <= longest)
         for w, hits in zip(todo, self.tree.search(todo, 2)):
             best: dict[str, float] = {}
             for hit, d in hits:
@@ -129,16 +165,17 @@ class Reference:
 
     def _assemble(self, words: list[tuple[str, bool]]) -> tuple[float, str] | None:
         """Cheapest entry whose form these words are."""
-        if not words or len(words) > 12:
+        if len(words) not in self.sizes:
             return None
+        exact = self.by_words.get(tuple(sorted(w for w, _ in words)))
+        if exact is not None:
+            return 0.0, exact
         sets = [self.candidates(w, stop) for w, stop in words]
         if any(not s for s in sets):
             return None
-        size, best = 1, None
-        for s in sets:
-            size *= len(s)
-        if size > 20_000:
-            sets = [[x for x in s if x[1] == min(c for _, c in s)] for s in sets]
+        if prod(len(s) for s in sets) > CHOICES:
+            return self._assemble_by_form(sets)
+        best = None
         for choice in product(*sets):
             entry = self.by_words.get(tuple(sorted(w for w, _ in choice)))
             if entry is not None:
@@ -146,6 +183,23 @@ class Reference:
                 best = found if best is None or found < best else best
         return best
 
+    def _assemble_by_form(self, sets: list[list[tuple[str, float]]]) -> tuple[float, str] | None:
+        """The same for many choices: of all forms of so many words that hold a candidate of the rarest word, the one whose
+        words are assigned most cheaply."""
+        if not self.by_word:
+            for form in self.by_words:
+                for w in set(form):
+                    self.by_word.setdefault((len(form), w), []).append(form)
+        n, costs = len(sets), [dict(s) for s in sets]
+        rarest = min(sets, key=lambda s: sum(len(self.by_word.get((n, w), ())) for w, _ in s))
+        best = None
+        for form in {f for w, _ in rarest for f in self.by_word.get((n, w), ())}:
+            cost = cheapest([[c.get(w, inf) for w in form] for c in costs])
+            if cost < inf:
+                found = (cost, self.by_words[form])
+                best = found if best is None or found < best else best
+        return best
+
     def match(self, values: list[str]) -> list[tuple[float, str] | None]:
         """Cheapest entry of each value."""
         readings = []
@@ -159,6 +213,7 @@ class Reference:
                     these.append((0.05, swapped_words))
             readings.append(these)
         self._search({w for these in readings for _, ws in these for w, _ in ws if w not in self.words and w not in FILLERS and not w.isdigit()})
+        longest = max(map(len, self.joined), default=0) + 2
         out: list[tuple[float, str] | None] = []
         left: list[tuple[int, str]] = []
         for k, these in enumerate(readings):
@@ -173,7 +228,7 @@ class Reference:
                         j = "".join(w for w, _ in some)
                         if j in self.joined:
                             found.append((0.3 + cost, self.joined[j]))
-                        elif len(some) == 1 and 8 <= len(j) <= 80 and j not in self.known:
+                        elif len(some) == 1 and 3 <= len(j) <= longest and j not in self.known:
                             left.append((k, j))
             out.append(min(found) if found else None)
         left = [(k, j) for k, j in left if out[k] is None]
@@ -181,7 +236,7 @@ class Reference:
         if todo and self.joined_tree is None:
             self.joined_tree = BKTree(list(self.joined))
         for j, hits in zip(todo, self.joined_tree.search(todo, 2) if todo else ()):
-            self.near_joined[j] = [(w, d) for w, d in hits if d == 1 or swapped(j, w)]
+            self.near_joined[j] = [(w, d) for w, d in hits if len(w) > 3 and (d == 1 or swapped(j, w))]
         for k, j in left:
             for w, _ in self.near_joined[j]:
                 found = (1.3, self.joined[w])

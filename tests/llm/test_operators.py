@@ -144,6 +144,25 @@ def test_mapping(spark):
     assert {r.core_id for r in mapping.map_values(vals, core.limit(0)).collect()} == {None}
 
 
+def test_mapping_has_no_longest_value(spark, monkeypatch):
+    names = "amber basin cedar delta ember fjord grove haven inlet jetty knoll ledge marsh north".split()
+    long, giant = " ".join(names), "pneumono" * 8
+    ref = mapping.Reference([("c:1", long), ("c:2", giant), ("c:3", giant + " " + giant[::-1]), ("c:4", "tree"), ("c:5", "hot dog"), *[(f"d:{k:03}", f"word{a}{b} stone") for k, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "abcdefgh")]], set())
+    values = [" ".join(reversed(names)), long.replace("amber", "ambre"), giant[:20] + giant[21:], (giant + giant[::-1])[1:], "tre", "hotdgo", long + " kettle"]
+    assert [x and x[1] for x in ref.match(values)] == ["c:1", "c:1", "c:2", "c:3", "c:4", "c:5", None]
+    # many candidates: the form is reached by a dearer one only, and equals what all choices give
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(5)) for _ in range(30)]
+    forms = [(f"e:{k:02}", " ".join(rng.choice(words) for _ in range(3))) for k in range(40)]
+    slip = lambda w: (k := rng.randrange(5), w[:k] + rng.choice("abcd") + w[k + 1 :])[1]
+    typed = [" ".join(map(slip, rng.sample(form.split(), 3))) for _, form in forms * 5]
+    monkeypatch.setattr(mapping, "CHOICES", 10**9)
+    want = mapping.Reference(forms, set()).match(typed)
+    monkeypatch.setattr(mapping, "CHOICES", 0)
+    got = mapping.Reference(forms, set()).match(typed)
+    assert sum(x is not None for x in want) > 20 and [x and (round(x[0], 9), x[1]) for x in got] == [x and (round(x[0], 9), x[1]) for x in want]
+
+
 # 7
 def test_survivors(spark):
     import datetime as dt
