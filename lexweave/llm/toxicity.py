@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -221,8 +222,8 @@ def _regress(j, i, v, y, weight, size, rounds=160, l2=1.0):
     n = len(y)
     w, b, mw, mb, k = np.zeros(size), 0.0, np.zeros(size), 0.0, 1.0
     lip = 0.25 * (weight * np.bincount(i, v * v, n)).sum() / weight.sum() + 0.25
-    step = 4.0 / lip
     scale = weight.sum()
+    step = min(4.0 / lip, scale / l2)  # the penalty weighs most on few rows and has to converge too
     for _ in range(rounds):
         z = np.bincount(i, v * mw[j], n) + mb
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / scale
@@ -342,7 +343,7 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, share: float = ABUSIV
 def train(documents: DataFrame, doc_label: DataFrame, max_docs: int = LABELLED_DOCS) -> Model:
     """A model from at most ``max_docs`` labelled documents: those whose ids hash lowest, the same ones in each run. Several
     labels of a document count by majority, ties as abusive; null labels don't count. The threshold comes from scores of
-    documents by a model that hasn't seen them."""
+    all of them by models that haven't seen them."""
     votes = doc_label.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     rows = documents.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id").collect()
@@ -352,22 +353,30 @@ def train(documents: DataFrame, doc_label: DataFrame, max_docs: int = LABELLED_D
 
 
 def fit_with_threshold(texts: list[str], labels: np.ndarray, ids: list[int], corpus: np.ndarray, corpus_passages: int) -> Model:
+    """The model of all documents, and the best cut of their scores by models of the other half each, whatever their number.
+    With less than two documents of a class none can be held out: the cut is that of the regression, 0; a model without one
+    class calls nothing abusive."""
     model = fit(texts, labels, corpus, corpus_passages)
-    if len(texts) >= 40:
-        # the threshold comes from half of the documents, scored by a model that has seen the other half only
-        fold, normalise = np.array([zlib_fold(i) for i in ids]), Normaliser()
-        a, z = np.flatnonzero(fold == 0), np.flatnonzero(fold == 1)
-        part = fit([texts[k] for k in a], labels[a], corpus, corpus_passages)
-        if len(z) and labels[z].any():
-            held = np.concatenate([part.scores(block, normalise) for block in _blocks([texts[k] for k in z])])
-            model.threshold = best_threshold(held, labels[z])
+    if min(labels.sum(), (~labels).sum()) < 2:
+        return model
+    fold, normalise, held = halves(labels, ids), Normaliser(), np.full(len(texts), np.nan)
+    for k in (0, 1):
+        a, z = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        part = fit([texts[x] for x in a], labels[a], corpus, corpus_passages)
+        held[z] = np.concatenate([part.scores(block, normalise) for block in _blocks([texts[x] for x in z])])
+    known = ~np.isnan(held)
+    if labels[known].any():
+        model.threshold = best_threshold(held[known], labels[known])
     return model
 
 
-def zlib_fold(doc_id: int) -> int:
-    import zlib
-
-    return zlib.crc32(str(doc_id).encode()) & 1
+def halves(labels: np.ndarray, ids: list[int]) -> np.ndarray:
+    """0 or 1 for each document, by the order of its id's hash among those of its class: both halves hold both classes."""
+    fold, mark = np.zeros(len(ids), np.int64), np.array([zlib.crc32(str(i).encode()) for i in ids], np.int64)
+    for y in (False, True):
+        at = np.flatnonzero(labels == y)
+        fold[at[np.argsort(mark[at], kind="stable")]] = np.arange(len(at)) % 2
+    return fold
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:

@@ -284,6 +284,23 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(docs.limit(0), toxicity.train(docs.limit(0), none)).count() == 0
 
 
+def test_threshold_is_held_out_at_every_size(monkeypatch):
+    asked = []
+    monkeypatch.setattr(toxicity, "best_threshold", lambda s, y: asked.append((len(s), int(y.sum()))) or 0.25)
+    counts = (np.ones(1 << toxicity.BITS), 100)
+    for n in (4, 12, 60):
+        texts = [f"some ordinary words about topic {k} of the day, and more of them" + " you vile rotten scum" * (k % 2) for k in range(n)]
+        labels = np.arange(n) % 2 == 1
+        assert toxicity.fit_with_threshold(texts, labels, list(range(n)), *counts).threshold == 0.25
+        assert np.isfinite(toxicity.fit(texts, labels, *counts).w).all()
+        fold = toxicity.halves(labels, list(range(n)))
+        assert {(f, y) for f, y in zip(fold.tolist(), labels.tolist())} == {(0, False), (0, True), (1, False), (1, True)}
+    assert asked == [(4, 2), (12, 6), (60, 30)]
+    one = toxicity.fit_with_threshold(texts[:3], labels[:3], [0, 1, 2], *counts)
+    none = toxicity.fit_with_threshold(texts[:2], np.zeros(2, bool), [0, 1], *counts)
+    assert one.threshold == none.threshold == 0.0 and len(asked) == 3 and none.b < 0
+
+
 def test_entry_has_queries():
     import __spark_entry__ as entry
 
