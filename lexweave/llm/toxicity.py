@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +72,26 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 _SPELT = re.compile(r"(?<!\w)[^\W\d_](?:([.\-_*~|/])[^\W\d_])(?:\1[^\W\d_])+(?!\w)|(?<!\w)[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
 _PAD = "\n" * 5
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def _low(c: str) -> str:
+    """The letter, digit or sign below 0x10000 that a character above stands for: by its compatibility form, or the letter
+    in a filled circle or square or of a flag. Invisible ones vanish, others stay."""
+    if unicodedata.category(c) in ("Cf", "Mn"):
+        return ""
+    for first in (0x1F150, 0x1F170, 0x1F1E6):
+        if 0 <= ord(c) - first < 26:
+            return chr(65 + ord(c) - first)
+    plain = unicodedata.normalize("NFKC", c)
+    return next((x for x in plain if x.isalnum()), plain)
+
+
 
 
 class Normaliser:
-    """Texts to one array of folded characters, whose disguises are undone: invisible signs go, spelt-out words are joined,
+    """Texts to one array of folded characters, whose disguises are undone: letter forms of any plane fold, invisible signs go, spelt-out words are joined,
     a digit or sign in place of a letter becomes *, numbers become 0, blanks shrink to one."""
 
     def __init__(self) -> None:
@@ -83,8 +100,11 @@ class Normaliser:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(characters, start of each text); every text ends with line breaks, so that none touches the next."""
         joined = [t + _PAD for t in texts]
-        lengths = np.array([len(t) for t in joined], np.int64)
         raw = _codes("".join(joined))
+        if (raw >= 0x10000).any():
+            joined = [_HIGH.sub(lambda m: _low(m[0]), t) for t in joined]
+            raw = _codes("".join(joined))
+        lengths = np.array([len(t) for t in joined], np.int64)
         raw = np.where(raw < 0x10000, raw, 0x25A1).astype(np.uint16)
         kind = self.kind[raw]
         # spelt-out words: letter, other, letter, other, letter with nothing longer between

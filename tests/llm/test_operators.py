@@ -301,6 +301,18 @@ def test_threshold_is_held_out_at_every_size(monkeypatch):
     assert one.threshold == none.threshold == 0.0 and len(asked) == 3 and none.b < 0
 
 
+def test_letters_of_higher_planes_fold():
+    normalise = toxicity.Normaliser()
+    plain = "you Rotten scum 42, day"
+    spread = lambda upper, lower, digit: "".join(chr(upper + ord(c) - 65) if c.isupper() else chr(lower + ord(c) - 97) if c.islower() else chr(digit + int(c)) if c.isdigit() else c for c in plain)
+    disguised = [spread(0x1D400, 0x1D41A, 0x1D7CE), spread(0x1D5D4, 0x1D5EE, 0x1D7EC), spread(0x1F130, 0x1F130, 0x1D7F6), spread(0x1F150, 0x1F150, 48), spread(0x1F170, 0x1F170, 48), "y\U000e0020ou Rot\U000e0101ten scum 42, day", "𝔶𝔬𝔲 𝓡𝓸𝓽𝓽𝓮𝓷 𝕤𝕔𝕦𝕞 42, day"]
+    want = normalise([plain])[0].tolist()
+    assert [normalise([t])[0].tolist() == want for t in disguised] == [True] * len(disguised)
+    assert normalise(["so y.𝐨.𝐮 too"])[0].tolist() == normalise(["so you too"])[0].tolist()
+    x, starts = normalise([plain, disguised[0], "end"])
+    assert starts.tolist() == [0, len(want), 2 * len(want)] and normalise(["😀 a"])[0].tolist() == normalise(["\u25a1 a"])[0].tolist()
+
+
 def test_entry_has_queries():
     import __spark_entry__ as entry
 
