@@ -155,11 +155,13 @@ def verify_exact_typed(spark, d):
     return verify.verify_exact(terms, _glossary(spark, d)).select("te_id", "entity_pos", "confidence", "status", "matched_synonym")
 
 
-def _parts(spark, d):
+def _parts(spark, d, each_row=False):
+    """Names of parts, perturbed, as terms (of distinct names, or of each row of ``part``), and the names as glossary."""
     names = read(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("entity_pos"))
     entities = names.select("entity_pos", F.col("entity_pos").cast("string").alias("id"), F.col("p_name").alias("label"), F.array().cast("array<string>").alias("synonyms"))
     words = F.split("p_name", " ")
-    terms = names.select(F.col("entity_pos").alias("doc_id"), F.lit("").alias("lemma"), F.concat(F.element_at(words, -1), F.lit(" "), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "), F.lit("x")).alias("text"))
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("entity_pos"), "p_name") if each_row else names
+    terms = rows.select(F.col("entity_pos").alias("doc_id"), F.lit("").alias("lemma"), F.concat(F.element_at(words, -1), F.lit(" "), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "), F.lit("x")).alias("text"))
     return terms, entities
 
 
@@ -168,8 +170,13 @@ def verify_fuzzy_ratio(spark, d):
     return verify.verify_fuzzy(terms, entities, 40, "ratio").select("doc_id", "text", "entity_pos", F.round("confidence", 9).alias("confidence"), "status", "matched_synonym")
 
 
+def verify_fuzzy_ratio_rows(spark, d):
+    terms, entities = _parts(spark, d, each_row=True)
+    return verify.verify_fuzzy(terms, entities, 40, "ratio").select("doc_id", "text", "entity_pos", F.round("confidence", 9).alias("confidence"), "status", "matched_synonym")
+
+
 def verify_fuzzy_token_sort(spark, d):
-    terms, entities = _parts(spark, d)
+    terms, entities = _parts(spark, d, each_row=True)
     return verify.verify_fuzzy(terms, entities, 85, "token_sort_ratio").select("doc_id", "text", "entity_pos", F.round("confidence", 9).alias("confidence"), "status", "matched_synonym")
 
 
@@ -180,6 +187,12 @@ def verify_fuzzy_terms(spark, d):
     return verify.verify_fuzzy(terms, entities).select("te_id", "entity_pos", "confidence", "status", "matched_synonym")
 
 
+def verify_fuzzy_glossary(spark, d):
+    """All typed terms against the whole delivered glossary, which is sharded where it has more than keys_at_once terms."""
+    terms = read(spark, d, "text_entity").select("te_id", "doc_id", "text", "lemma")
+    return verify.verify_fuzzy(terms, _glossary(spark, d)).select("te_id", "entity_pos", "confidence", "status", "matched_synonym")
+
+
 def report_extraction(spark, d):
     r = reports.extraction_report(cvalue.extract_cvalue(_docs(spark, d)))
     return r.withColumn("score_avg", F.round("score_avg", 9))
@@ -246,7 +259,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         tokenize, sentence_token_counts, heuristic_candidates, pos_segments, pos_np_candidates, rule_matches, candidate_counts, cvalue_nested, cvalue_ranked, extractor_union, normalize_terms, glossary_index, glossary_lookup,
-        verify_exact, verify_exact_typed, verify_fuzzy_ratio, verify_fuzzy_token_sort, verify_fuzzy_terms, report_extraction, report_extractor_stats, report_verification, ontology_update, quality_gate, coverage_by_lang, canonical_terms,
+        verify_exact, verify_exact_typed, verify_fuzzy_ratio, verify_fuzzy_ratio_rows, verify_fuzzy_token_sort, verify_fuzzy_terms, verify_fuzzy_glossary, report_extraction, report_extractor_stats, report_verification, ontology_update, quality_gate, coverage_by_lang, canonical_terms,
         stable_ids, glossary_from_report, glossary_merge, merge_conflicts, merge_summary,
     )
 }

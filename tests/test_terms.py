@@ -230,3 +230,17 @@ def test_lookup(spark):
     g = entities(spark, ("a", "One", ["uno", "two"]), ("b", "Two", []))
     asked = spark.createDataFrame([(0, "TWO"), (1, "nope"), (2, "uno"), (3, "two")], "pos int, term string")
     assert [(r.pos, r.id) for r in glossary.lookup(asked, g).orderBy("pos").collect()] == [(0, "a"), (2, "a"), (3, "a")]
+
+
+def test_fuzzy_queries_take_whole_tables(spark, tmp_path):
+    from lexweave.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "red fox"), (2, "red fox"), (3, "old oak tree")], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k, 1, t, "") for k, t in enumerate(["netwrok", "tree", None])], "te_id long, doc_id long, text string, lemma string").write.parquet(str(tmp_path / "text_entity.parquet"))
+    glossary_rows = [(5, "a", "network", ["net"], {}, None, "s"), (6, "b", None, [], {}, None, "s"), (7, "c", "graph", ["Tree"], {}, None, "s")]
+    spark.createDataFrame(glossary_rows, "entry_id long, id string, label string, synonyms array<string>, relations map<string,array<string>>, definition string, source string").write.parquet(str(tmp_path / "test_glossary.parquet"))
+    assert sorted(r.doc_id for r in QUERIES["verify_fuzzy_ratio"](spark, str(tmp_path)).collect()) == [1, 3]  # as its SQL
+    assert sorted(r.doc_id for r in QUERIES["verify_fuzzy_ratio_rows"](spark, str(tmp_path)).collect()) == [1, 2, 3]
+    assert sorted((r.doc_id, r.entity_pos) for r in QUERIES["verify_fuzzy_token_sort"](spark, str(tmp_path)).collect()) == [(1, 1), (2, 1), (3, 3)]
+    got = {r.te_id: (r.entity_pos, r.status, r.matched_synonym) for r in QUERIES["verify_fuzzy_glossary"](spark, str(tmp_path)).collect()}
+    assert got == {0: (5, "NEAR_MATCH", "network"), 1: (7, "NEAR_MATCH", "tree"), 2: (None, "UNKNOWN", None)}
