@@ -1,9 +1,10 @@
 """Abusive, hateful or sexual content (problem 10): character n-grams scaled by naive Bayes log-count ratios, linear classifier.
 
 Labels belong to documents, but one passage makes a document abusive, so training finds the passages: all passages of
-documents labelled abusive start as suspects, log-count ratios against the whole corpus narrow them, and a logistic
-regression on the scaled n-grams sets them apart from the worst passages of clean documents. The score of a document is
-that of its worst passage. Everything is vectorised over characters: no n-gram becomes a Python object.
+documents labelled abusive start as suspects, and log-count ratios against the whole corpus narrow them. A second count,
+over the suspicious passages of all documents, tells abuse from harmless passages that merely look unusual. A logistic
+regression on the scaled n-grams then sets the suspects apart from the worst passages of clean documents. The score of a
+document is that of its worst passage. Everything is vectorised over characters: no n-gram becomes a Python object.
 """
 
 from __future__ import annotations
@@ -24,13 +25,20 @@ from lexweave.common import norm_id, per_worker
 
 SIZES = (3, 4, 5)
 BITS = 19
-LABELLED_DOCS = 1_600
-ABUSIVE_SHARE = 0.05
+LABELLED_DOCS = 6_000
+LABELLED_CHARS = 20_000_000
 PASSAGE = 130
-TURNS = 6
-PRIOR = 1.0
+TURNS = 4
+PRIOR = 0.5
 SEEN = 3
-HARD = 3
+DOWN = 3.0
+CLEAN, USUAL = 0.9, 0.8
+HARD = 1
+FOLDS, ROUNDS = 5, 50
+BETA = 0.5  # recall counts that much beside precision: of few labels a careful cut comes
+APART = 6.0  # an n-gram is harmless where suspects hold it that much more rarely than abuse has its n-grams
+NAIVE = 0.75
+EDGES = np.linspace(-40.0, 40.0, 641)  # of the histogram of documents' scores
 SCRAP, SCRAP_CHARS = 3.0, 18  # a passage of fewer characters, five line breaks included, has to score that much more
 
 
@@ -185,6 +193,19 @@ def _cuts(x: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return starts
 
 
+def _scale(lengths: np.ndarray) -> np.ndarray:
+    """What the sum over a passage's n-grams is divided by."""
+    return np.sqrt(np.maximum(lengths, 30) * len(SIZES))
+
+
+def _passage_scores(x: np.ndarray, cuts: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    total = np.zeros(len(x), np.float32)
+    for n in SIZES:
+        total[: len(x) - n + 1] += w[_hashes(x, n)]
+    lengths = np.diff(np.append(cuts, len(x)))
+    return b + np.add.reduceat(total, cuts) / _scale(lengths) - SCRAP * (lengths < SCRAP_CHARS)
+
+
 @dataclass
 class Model:
     """score = b + sum of w over a passage's n-grams / root of their number."""
@@ -196,11 +217,7 @@ class Model:
     def passages(self, x: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and scores of the passages of folded texts."""
         cuts = _cuts(x, docs)
-        total = np.zeros(len(x), np.float32)
-        for n in SIZES:
-            total[: len(x) - n + 1] += self.w[_hashes(x, n)]
-        lengths = np.diff(np.append(cuts, len(x)))
-        return cuts, self.b + np.add.reduceat(total, cuts) / np.sqrt(np.maximum(lengths, 30) * len(SIZES)) - SCRAP * (lengths < SCRAP_CHARS)
+        return cuts, _passage_scores(x, cuts, self.w, self.b)
 
     def scores(self, texts: list[str], normalise: Normaliser) -> np.ndarray:
         """Worst passage of each text."""
@@ -221,30 +238,50 @@ def _blocks(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
         yield held
 
 
-def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, bucket) pairs, each once; the text of each passage; the length of each passage."""
-    normalise, keys, owner, lengths, done, at = Normaliser(), [], [], [], 0, 0
-    for block in _blocks(texts):
-        x, docs = normalise(block)
-        cuts = _cuts(x, docs)
-        n = np.diff(np.append(cuts, len(x)))
-        place = np.repeat(np.arange(len(cuts), dtype=np.int64), n) + done
-        keys.append(np.unique(np.concatenate([place[: len(x) - k + 1] << BITS | _hashes(x, k) for k in SIZES])))
-        owner.append(np.searchsorted(docs, cuts, side="right") - 1 + at)
-        lengths.append(n)
-        done, at = done + len(cuts), at + len(block)
-    key = np.concatenate(keys)
-    return key >> BITS, key & ((1 << BITS) - 1), np.concatenate(owner), np.concatenate(lengths)
-
-
-def _regress(j, i, v, y, weight, size, rounds=160, l2=1.0):
+class Passages:
+    """All passages of some texts: their folded characters by block, the text and the length of each passage."""
+
+    def __init__(self, texts: list[str]) -> None:
+        normalise, owner, lengths, at = Normaliser(), [], [], 0
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        for block in _blocks(texts):
+            x, docs = normalise(block)
+            cuts = _cuts(x, docs)
+            self.blocks.append((x.astype(np.uint16), cuts))
+            owner.append(np.searchsorted(docs, cuts, side="right") - 1 + at)
+            lengths.append(np.diff(np.append(cuts, len(x))))
+            at += len(block)
+        self.texts, self.owner, self.lengths = at, np.concatenate(owner), np.concatenate(lengths)
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.concatenate([_passage_scores(x.astype(np.uint32), cuts, w, b) for x, cuts in self.blocks])
+
+    def worst(self, scores: np.ndarray) -> np.ndarray:
+        """Highest score of each text."""
+        return np.maximum.reduceat(scores, np.searchsorted(self.owner, np.arange(self.texts)))
+
+    def grams(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, bucket) pairs of the chosen passages, each once."""
+        keys, done = [], 0
+        for x, cuts in self.blocks:
+            n = np.diff(np.append(cuts, len(x)))
+            place = np.repeat(np.arange(done, done + len(cuts), dtype=np.int64), n)
+            inside = np.repeat(chosen[done : done + len(cuts)], n)
+            wide = x.astype(np.uint32)
+            keys += [place[: len(x) - k + 1][keep] << BITS | _hashes(wide, k)[keep] for k in SIZES for keep in (inside[: len(x) - k + 1],)]
+            done += len(cuts)
+        key = np.unique(np.concatenate(keys))
+        return key >> BITS, key & ((1 << BITS) - 1)
+
+
+def _regress(j, i, v, y, weight, size, rounds: int | None = None, l2=1.0):
     """Logistic regression on sparse (row i, column j, value v) by accelerated gradient steps."""
     n = len(y)
     w, b, mw, mb, k = np.zeros(size), 0.0, np.zeros(size), 0.0, 1.0
     lip = 0.25 * (weight * np.bincount(i, v * v, n)).sum() / weight.sum() + 0.25
     scale = weight.sum()
     step = min(4.0 / lip, scale / l2)  # the penalty weighs most on few rows and has to converge too
-    for _ in range(rounds):
+    for _ in range(rounds or ROUNDS):
         z = np.bincount(i, v * mw[j], n) + mb
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / scale
         nw, nb = mw - step * (np.bincount(j, v * g[i], size) + l2 * mw / scale), mb - step * g.sum()
@@ -254,89 +291,142 @@ def _regress(j, i, v, y, weight, size, rounds=160, l2=1.0):
     return w, b
 
 
-def fit(texts: list[str], labels: np.ndarray, corpus: np.ndarray, corpus_passages: int) -> Model:
-    """Train on documents and their labels (0 or 1); ``corpus`` counts each n-gram bucket over all documents, of which few
-    are abusive. Without both kinds of labels nothing is ever abusive."""
-    size = 1 << BITS
-    labels = np.asarray(labels, bool)
-    if not len(labels) or labels.all() or not labels.any():
-        return Model(np.zeros(size, np.float32), -1.0, 0.0)
-    i, j, owner, lengths = _features(texts)
-    often = np.bincount(j, minlength=size)[j] >= SEEN  # n-grams of fewer passages can't tell anything
-    i, j = i[often], j[often]
-    used, j = np.unique(j, return_inverse=True)
-    usual_rate = corpus[used] / max(1, corpus_passages)
-    cols, rows = len(used), len(owner)
-    length = np.sqrt(np.maximum(lengths, 30) * len(SIZES))
-    bad = labels[owner]
-    suspect, model_w, model_b = bad.copy(), np.zeros(cols), 0.0
-    hard = np.zeros(rows, bool)
+@dataclass
+class Suspicion:
+    """What naive Bayes alone finds: weights of n-grams, the cut that most clean documents (USUAL) stay below, and ``share``,
+    the part of all abuse in the corpus that lies in the labelled documents, as the n-grams of suspects show it."""
+
+    w: np.ndarray
+    cut: float
+    share: float
+
+
+def _log_ratios(held: np.ndarray, expected: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Log of how much more often suspects hold each n-gram than expected. An n-gram that all documents hold less than SEEN
+    times can't tell anything; none speaks against abuse more than by -DOWN, so that one clear passage isn't outvoted."""
+    r = np.log((held + PRIOR) / (expected + PRIOR))
+    return np.where(corpus < SEEN, 0.0, np.maximum(r, -DOWN))
+
+
+def suspect(passages: Passages, labels: np.ndarray, corpus: np.ndarray, corpus_passages: int) -> tuple[Suspicion, np.ndarray]:
+    """Log-count ratios narrow all passages of documents labelled abusive to the suspects among them. Each turn compares with
+    the middle, on a log scale, of the rate in the corpus at large and of the rate that n-grams of abuse have."""
+    bad = labels[passages.owner]
+    i, j = passages.grams(bad)
+    suspects, share, usual = bad, 0.0, bad.sum() / max(1, corpus_passages)
     for turn in range(TURNS):
-        # Log of how much more often suspects hold an n-gram than so many usual passages as abusive documents have would;
-        # a rare n-gram says little, and one of usual passages never speaks for abuse.
-        p = np.bincount(j, suspect[i], cols)
-        r = np.log((p + PRIOR) / (usual_rate * bad.sum() + PRIOR))
-        if turn < TURNS - 2:  # naive Bayes alone, until the suspects are narrowed
-            score = np.bincount(i, r[j], rows) / length
-        else:  # regression on the suspects and the worst passages of clean documents
-            keep = suspect | hard
-            new = np.cumsum(keep) - 1
-            part = keep[i]
-            ii, jj = new[i[part]], j[part]
-            y = suspect[keep].astype(float)
-            weight = np.where(y > 0, 0.3 / max(1, y.sum()), 0.7 / max(1, (1 - y).sum())) * len(y)
-            w, model_b = _regress(jj, ii, r[jj] / length[keep][ii], y, weight, cols)
-            model_w = w * r
-            score = np.bincount(i, model_w[j], rows) / length + model_b
-        score = score - SCRAP * (lengths < SCRAP_CHARS)
-        worst = np.full(len(texts), -np.inf)
-        np.maximum.at(worst, owner, score)
-        usual = np.quantile(worst[~labels], 0.95)  # annotators err, so the worst few don't bind
-        suspect = bad & (score > usual)
-        if not suspect.any():
-            suspect = bad & (score >= worst[owner] - 1e-12)
-        order = np.lexsort((-score, owner))
-        place = np.arange(rows) - np.searchsorted(owner[order], owner[order])
-        hard[order[place < HARD]] = True
-        hard &= ~bad
-    full = np.zeros(size, np.float32)
-    full[used] = model_w
-    return Model(full, float(model_b), 0.0)
-
-
-def corpus_counts(documents: DataFrame, slices: int = 64) -> tuple[np.ndarray, int]:
-    """Counts of each n-gram bucket over all documents, and the number of passages. Each task sends its counts in slices;
-    the slices are summed by as many groups, so what comes to the driver is 2^BITS numbers whatever the corpus."""
-    step = (1 << BITS) // slices
+        held = np.bincount(j, suspects[i], len(corpus))
+        if turn:
+            rate = np.where(held >= SEEN, held / np.maximum(corpus, 1), 0.0)[j] * suspects[i]
+            best = np.zeros(len(bad))
+            np.maximum.at(best, i, rate)
+            best = best[suspects & (best > 0)]
+            share = min(1.0, float(np.median(best))) if len(best) else usual
+            usual = suspects.sum() / max(1, corpus_passages)
+        w = _log_ratios(held, (np.sqrt(share * usual) if turn else usual) * corpus, corpus)
+        scores = passages.scores(w, 0.0)
+        worst = passages.worst(scores)
+        cut = float(np.quantile(worst[~labels], CLEAN))  # annotators err, so the worst few don't bind
+        suspects = bad & (scores > cut)
+        if not suspects.any():
+            suspects = bad & (scores >= worst[passages.owner] - 1e-12)
+    return Suspicion(w.astype(np.float32), float(np.quantile(worst[~labels], USUAL)), share), suspects
+
+
+class Examples:
+    """Suspects and the HARD worst passages of each clean document, with their n-grams: what the regression learns from."""
+
+    def __init__(self, passages: Passages, labels: np.ndarray, found: Suspicion, suspects: np.ndarray) -> None:
+        scores = passages.scores(found.w, 0.0)
+        order = np.lexsort((-scores, passages.owner))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - np.searchsorted(passages.owner[order], passages.owner[order])
+        chosen = suspects | ~labels[passages.owner] & (place < HARD)
+        i, j = passages.grams(chosen)
+        self.row, self.text = (np.cumsum(chosen) - 1)[i], passages.owner[chosen]
+        self.known, self.column = np.unique(j, return_inverse=True)
+        self.bad, self.scale = suspects[chosen], _scale(passages.lengths[chosen])
+        self.labelled_bad = labels
+
+
+def refine(examples: Examples, use: np.ndarray, found: Suspicion, corpus: np.ndarray, corpus_passages: int, high: np.ndarray) -> Model:
+    """The classifier from the documents in ``use``: a logistic regression of suspects against the worst passages of clean
+    documents on n-grams scaled by their log-count ratios, interpolated with naive Bayes. ``high`` counts each n-gram over
+    all suspicious passages of the corpus: what is frequent among them but rare in documents labelled abusive is a harmless
+    look-alike, whether or not some labelled document shows it."""
+    mine = use[examples.text]
+    here = mine[examples.row]
+    row, column = (np.cumsum(mine) - 1)[examples.row[here]], examples.column[here]
+    y, scale = examples.bad[mine].astype(float), examples.scale[mine]
+    held = np.zeros(len(corpus))
+    held[examples.known] = np.bincount(column, y[row], len(examples.known))
+    part = use[examples.labelled_bad].mean()
+    r = _log_ratios(held, np.maximum(high * (found.share * part / APART), corpus * (y.sum() / max(1, corpus_passages))), corpus)
+    weight = np.where(y > 0, 0.3 / max(1, y.sum()), 0.7 / max(1, (1 - y).sum())) * len(y)
+    fitted, b = _regress(column, row, r[examples.known][column] / scale[row], y, weight, len(examples.known))
+    mean = np.abs(fitted).mean()
+    w = np.full(len(corpus), NAIVE * mean)
+    w[examples.known] += (1 - NAIVE) * fitted
+    return Model((w * r).astype(np.float32), float(b), 0.0)
+
+
+def abusive_share(corpus_worst: np.ndarray, labelled_worst: np.ndarray, labels: np.ndarray, edges: np.ndarray) -> float:
+    """The part of all documents that is abusive, by adjusted count: at the cut that parts labelled documents best, as many
+    documents of the corpus lie above as the share makes with the rates of both labels. ``corpus_worst`` is a histogram."""
+    above = np.append(np.cumsum(corpus_worst[::-1])[::-1], 0) / max(1, corpus_worst.sum())
+    rate = lambda y: np.append(np.cumsum(np.bincount(np.searchsorted(edges, labelled_worst[labels == y], side="right"), minlength=len(corpus_worst))[::-1])[::-1], 0) / max(1, (labels == y).sum())
+    tpr, fpr = rate(True), rate(False)
+    k = int(np.argmax(tpr - fpr))
+    if tpr[k] <= fpr[k]:
+        return float(labels.mean())
+    lowest = 1.0 / max(2, corpus_worst.sum())
+    return float(np.clip((above[k] - fpr[k]) / (tpr[k] - fpr[k]), lowest, 0.5))
+
+
+def corpus_counts(documents: DataFrame, found: Suspicion | None = None, slices: int = 64) -> tuple[np.ndarray, int, np.ndarray]:
+    """Counts of each n-gram bucket over all documents (over their passages above ``found``'s cut, if given), the number of
+    passages counted, and a histogram of the documents' worst scores. Each task sends its counts in slices; the slices are
+    summed by as many groups, so what comes to the driver is 2^BITS numbers whatever the corpus."""
+    step, bins = (1 << BITS) // slices, len(EDGES) + 1
+    shared = documents.sparkSession.sparkContext.broadcast((found.w, found.cut)) if found else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normalise, total, passages = per_worker("normaliser", Normaliser), np.zeros(1 << BITS, np.int64), 0
+        normalise, total, passages, worst = per_worker("normaliser", Normaliser), np.zeros(1 << BITS, np.int64), 0, np.zeros(bins, np.int64)
         for batch in batches:
             for block in _blocks([t for t in batch.column(0).to_pylist() if t]):
                 x, docs = normalise(block)
-                passages += len(_cuts(x, docs))
+                cuts, inside = _cuts(x, docs), None
+                if shared:
+                    w, cut = shared.value
+                    scores = _passage_scores(x, cuts, w, 0.0)
+                    worst += np.bincount(np.searchsorted(EDGES, np.maximum.reduceat(scores, np.searchsorted(cuts, docs)), side="right"), minlength=bins)
+                    inside = np.repeat(scores > cut, np.diff(np.append(cuts, len(x))))
+                    passages += int((scores > cut).sum())
+                else:
+                    passages += len(cuts)
                 for n in SIZES:
-                    total += np.bincount(_hashes(x, n), minlength=1 << BITS)
-        if passages:
-            parts = [total[k * step : (k + 1) * step].tobytes() for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary()), pa.array([passages] * slices, pa.int64())], names=["part", "counts", "passages"])
+                    h = _hashes(x, n)
+                    total += np.bincount(h if inside is None else h[inside[: len(h)]], minlength=1 << BITS)
+        parts = [total[k * step : (k + 1) * step].tobytes() for k in range(slices)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary()), pa.array([passages] * slices, pa.int64()), pa.array([worst.tobytes()] * slices, pa.binary())], names=["part", "counts", "passages", "worst"])
 
     def add(key, groups: Iterator) -> Iterator:
-        total, passages = np.zeros(step, np.int64), 0
+        import pandas as pd
+
+        total, passages, worst = np.zeros(step, np.int64), 0, np.zeros(bins, np.int64)
         for pdf in groups:
-            for c in pdf["counts"]:
+            for c, h in zip(pdf["counts"], pdf["worst"]):
                 total += np.frombuffer(c, np.int64)
+                worst += np.frombuffer(h, np.int64)
             passages += int(pdf["passages"].sum())
-        import pandas as pd
-
-        yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()], "passages": [passages]})
+        yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()], "passages": [passages], "worst": [worst.tobytes()]})
 
-    schema = "part int, counts binary, passages long"
+    schema = "part int, counts binary, passages long, worst binary"
     sums = documents.select("text").mapInArrow(count, schema).groupBy("part").applyInPandas(_typed(add), schema)
     rows = sorted(sums.collect())
     if not rows:
-        return np.zeros(1 << BITS), 0
-    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in rows]), rows[0].passages
+        return np.zeros(1 << BITS), 0, np.zeros(bins)
+    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in rows]), rows[0].passages, np.frombuffer(rows[0].worst, np.int64)
 
 
 def _typed(fn):
@@ -347,55 +437,69 @@ def _typed(fn):
     return fn
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, share: float = ABUSIVE_SHARE) -> float:
-    """The cut with the best F1 in a corpus of which ``share`` is abusive: labelled documents are no random sample, so clean
-    ones count as often as makes that share. The middle of the gap the cut falls into, kept between -2 and 6."""
+def best_threshold(scores: np.ndarray, labels: np.ndarray, share: float) -> float:
+    """The cut with the best F-measure (BETA) in a corpus of which ``share`` is abusive: labelled documents are no random
+    sample, so clean ones count as often as makes that share. The middle of the gap the cut falls into."""
     order = np.argsort(-scores)
     s, y = scores[order], labels[order]
     weight = max(1.0, (1 - share) / share * y.sum() / max(1, (~y).sum()))
     tp, fp = np.cumsum(y), np.cumsum(~y) * weight
-    f1 = 2 * tp / (tp + fp + max(1, y.sum()))
-    k = int(np.argmax(f1))
+    k = int(np.argmax((1 + BETA**2) * tp / (tp + fp + BETA**2 * max(1, y.sum()))))
     low = s[k + 1] if k + 1 < len(s) and np.isfinite(s[k + 1]) else s[k] - 1
-    return float(np.clip((s[k] + low) / 2, -2.0, 6.0))
+    return float((s[k] + low) / 2)
 
 
-def train(documents: DataFrame, doc_label: DataFrame, max_docs: int = LABELLED_DOCS) -> Model:
-    """A model from at most ``max_docs`` labelled documents: those whose ids hash lowest, the same ones in each run. Several
-    labels of a document count by majority, ties as abusive; null labels don't count. The threshold comes from scores of
-    all of them by models that haven't seen them."""
+def labelled_texts(documents: DataFrame, doc_label: DataFrame, max_docs: int, max_chars: int) -> tuple[list[str], np.ndarray, list[int]]:
+    """Texts, labels and ids of at most ``max_docs`` labelled documents of ``max_chars`` characters together: those whose ids
+    hash lowest, the same ones in each run. Several labels of a document count by majority, ties as abusive."""
     votes = doc_label.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = documents.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    corpus = corpus_counts(documents)
-    return fit_with_threshold([r.text for r in rows], np.array([r.y >= 0.5 for r in rows], bool), [r.doc_id for r in rows], *corpus)
-
-
-def fit_with_threshold(texts: list[str], labels: np.ndarray, ids: list[int], corpus: np.ndarray, corpus_passages: int) -> Model:
-    """The model of all documents, and the best cut of their scores by models of the other half each, whatever their number.
-    With less than two documents of a class none can be held out: the cut is that of the regression, 0; a model without one
-    class calls nothing abusive."""
-    model = fit(texts, labels, corpus, corpus_passages)
-    if min(labels.sum(), (~labels).sum()) < 2:
-        return model
-    fold, normalise, held = halves(labels, ids), Normaliser(), np.full(len(texts), np.nan)
-    for k in (0, 1):
-        a, z = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        part = fit([texts[x] for x in a], labels[a], corpus, corpus_passages)
-        held[z] = np.concatenate([part.scores(block, normalise) for block in _blocks([texts[x] for x in z])])
-    known = ~np.isnan(held)
-    if labels[known].any():
-        model.threshold = best_threshold(held[known], labels[known])
+    mine = documents.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id")
+    kept, chars = [], 0
+    for r in sorted(mine.select("doc_id", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r.h, r.doc_id)):
+        if chars + r.n <= max_chars:
+            kept.append(r.doc_id)
+            chars += r.n
+    if not kept:
+        return [], np.zeros(0, bool), []
+    few = documents.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(kept)], "doc_id long")
+    rows = sorted(mine.join(F.broadcast(few), "doc_id").collect(), key=lambda r: (r.doc_id, r.text))
+    return [r.text for r in rows], np.array([r.y >= 0.5 for r in rows], bool), [r.doc_id for r in rows]
+
+
+def train(documents: DataFrame, doc_label: DataFrame, max_docs: int = LABELLED_DOCS, max_chars: int = LABELLED_CHARS) -> Model:
+    """A model from a bounded sample of labelled documents (see :func:`labelled_texts`) and counts over all documents.
+    Without two labelled documents of each kind nothing is ever abusive."""
+    texts, labels, ids = labelled_texts(documents, doc_label, max_docs, max_chars)
+    if not len(labels) or min(labels.sum(), (~labels).sum()) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), -1.0, 0.0)
+    corpus, n, _ = corpus_counts(documents)
+    passages = Passages(texts)
+    found, suspects = suspect(passages, labels, corpus, n)
+    high, _, worst = corpus_counts(documents, found)
+    return fit(passages, labels, ids, found, suspects, corpus, n, high, worst)
+
+
+def fit(passages: Passages, labels: np.ndarray, ids: list[int], found: Suspicion, suspects: np.ndarray, corpus: np.ndarray, corpus_passages: int, high: np.ndarray, worst: np.ndarray) -> Model:
+    """The model of all labelled documents, and the best cut of their scores by models of the other folds."""
+    examples = Examples(passages, labels, found, suspects)
+    make = lambda use: refine(examples, use, found, corpus, corpus_passages, high)
+    model, fold, held = make(np.ones(len(labels), bool)), folds(labels, ids), np.empty(len(labels))
+    for k in np.unique(fold):
+        part = make(fold != k)
+        held[fold == k] = passages.worst(passages.scores(part.w, part.b))[fold == k]
+    share = abusive_share(worst, passages.worst(passages.scores(found.w, 0.0)), labels, EDGES)
+    model.threshold = best_threshold(held, labels, share)
     return model
 
 
-def halves(labels: np.ndarray, ids: list[int]) -> np.ndarray:
-    """0 or 1 for each document, by the order of its id's hash among those of its class: both halves hold both classes."""
+def folds(labels: np.ndarray, ids: list[int]) -> np.ndarray:
+    """The fold of each document, by the order of its id's hash among those of its class: all folds hold both classes if
+    there are as many documents of each."""
     fold, mark = np.zeros(len(ids), np.int64), np.array([zlib.crc32(str(i).encode()) for i in ids], np.int64)
     for y in (False, True):
         at = np.flatnonzero(labels == y)
-        fold[at[np.argsort(mark[at], kind="stable")]] = np.arange(len(at)) % 2
+        fold[at[np.argsort(mark[at], kind="stable")]] = np.arange(len(at)) % FOLDS
     return fold
 
 

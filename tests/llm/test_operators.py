@@ -286,19 +286,47 @@ def test_toxicity_without_labels(spark):
 
 def test_threshold_is_held_out_at_every_size(monkeypatch):
     asked = []
-    monkeypatch.setattr(toxicity, "best_threshold", lambda s, y: asked.append((len(s), int(y.sum()))) or 0.25)
+    monkeypatch.setattr(toxicity, "best_threshold", lambda s, y, share: asked.append((len(s), int(y.sum()))) or 0.25)
     counts = (np.ones(1 << toxicity.BITS), 100)
     for n in (4, 12, 60):
         texts = [f"some ordinary words about topic {k} of the day, and more of them" + " you vile rotten scum" * (k % 2) for k in range(n)]
-        labels = np.arange(n) % 2 == 1
-        assert toxicity.fit_with_threshold(texts, labels, list(range(n)), *counts).threshold == 0.25
-        assert np.isfinite(toxicity.fit(texts, labels, *counts).w).all()
-        fold = toxicity.halves(labels, list(range(n)))
-        assert {(f, y) for f, y in zip(fold.tolist(), labels.tolist())} == {(0, False), (0, True), (1, False), (1, True)}
+        labels, passages = np.arange(n) % 2 == 1, toxicity.Passages(texts)
+        found, suspects = toxicity.suspect(passages, labels, *counts)
+        model = toxicity.fit(passages, labels, list(range(n)), found, suspects, *counts, counts[0], np.ones(len(toxicity.EDGES) + 1))
+        assert model.threshold == 0.25 and np.isfinite(model.w).all()
+        fold = toxicity.folds(labels, list(range(n)))
+        assert {y for f, y in zip(fold.tolist(), labels.tolist()) if f == 0} == {False, True} and fold.max() < toxicity.FOLDS
     assert asked == [(4, 2), (12, 6), (60, 30)]
-    one = toxicity.fit_with_threshold(texts[:3], labels[:3], [0, 1, 2], *counts)
-    none = toxicity.fit_with_threshold(texts[:2], np.zeros(2, bool), [0, 1], *counts)
-    assert one.threshold == none.threshold == 0.0 and len(asked) == 3 and none.b < 0
+
+
+def test_passages_score_as_the_model_does():
+    texts = ["One sentence. Another one! " * 9, "", "short", "x" * 700]
+    texts = [t for t in texts if t]
+    w = np.random.default_rng(3).normal(size=1 << toxicity.BITS).astype(np.float32)
+    passages, model = toxicity.Passages(texts), toxicity.Model(w, 0.5, 0.0)
+    np.testing.assert_allclose(passages.worst(passages.scores(w, 0.5)), model.scores(texts, toxicity.Normaliser()), rtol=1e-5)
+    chosen = np.zeros(len(passages.owner), bool)
+    chosen[[0, -1]] = True
+    i, j = passages.grams(chosen)
+    assert set(i.tolist()) == {0, len(chosen) - 1} and len(set(zip(i.tolist(), j.tolist()))) == len(i)
+
+
+def test_share_of_abuse_by_adjusted_count():
+    edges = np.array([0.0])
+    labels = np.array([True] * 10 + [False] * 10)
+    worst = np.where(labels, 1.0, -1.0)
+    worst[0], worst[10] = -1.0, 1.0  # both rates are off by a tenth
+    assert abs(toxicity.abusive_share(np.array([860, 140]), worst, labels, edges) - 0.05) < 1e-9
+    assert toxicity.abusive_share(np.array([950, 50]), worst, labels, edges) == 1 / 1000
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(30)] + [(3, "again")], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    texts, labels, ids = toxicity.labelled_texts(docs, lab, 20, 10_000)
+    assert len(set(ids)) == 20 and len(texts) == len(labels) == len(ids)
+    assert sum(map(len, toxicity.labelled_texts(docs, lab, 20, 1_000)[0])) <= 1_105
+    assert toxicity.labelled_texts(docs, lab.limit(0), 20, 1_000)[0] == []
 
 
 def test_letters_of_higher_planes_fold():
