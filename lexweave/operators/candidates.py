@@ -21,22 +21,25 @@ CANDIDATE_COLUMNS = ("doc_id", "text", "n_tok", "sent_id", "first_idx", "char_st
 
 
 def _windows(tokens: DataFrame, by: list[str], lengths: range, keep, order) -> DataFrame:
-    """All windows of these lengths: the tokens' columns of each place come from ``lead`` over one shared window."""
+    """All windows of these lengths. The tokens' columns of each place come from ``lead`` over one window, and the windows of
+    all lengths from one explode, so tokens are made once whatever the lengths."""
     w = Window.partitionBy("doc_id", *by).orderBy("tok_idx")
     cols = ("token", "lemma", "pos", "char_end")
     wide = tokens.select("*", *[F.lead(c, k).over(w).alias(f"{c}_{k}") for k in range(1, max(lengths, default=1)) for c in cols])
-    parts = []
-    for n in lengths:
-        at = lambda c, n=n: [F.col(c), *[F.col(f"{c}_{k}") for k in range(1, n)]]
-        rows = wide.filter(at("token")[-1].isNotNull()).filter(keep(at))
-        parts.append(rows.select("doc_id", F.concat_ws(" ", *at("token")).alias("text"), F.lit(n).alias("n_tok"), "sent_id", F.col("tok_idx").alias("first_idx"), "char_start", at("char_end")[-1].alias("char_end"), order(n).alias("occ")))
-    if not parts:
-        return wide.limit(0).select("doc_id", F.lit("").alias("text"), F.lit(0).alias("n_tok"), "sent_id", F.col("tok_idx").alias("first_idx"), "char_start", "char_end", order(0).alias("occ"))
-    return reduce(DataFrame.unionByName, parts)
+
+    def window(n: int) -> Column:
+        at = lambda c: [F.col(c), *[F.col(f"{c}_{k}") for k in range(1, n)]]
+        one = F.struct(F.concat_ws(" ", *at("token")).alias("text"), F.lit(n).alias("n_tok"), at("char_end")[-1].alias("char_end"), order(n).alias("occ"))
+        return F.when(at("token")[-1].isNotNull() & keep(at), one)
+
+    made = F.filter(F.array(*map(window, lengths or (1,))), lambda x: x.isNotNull() & F.lit(bool(lengths)))
+    rows = wide.select("doc_id", "sent_id", F.col("tok_idx").alias("first_idx"), "char_start", F.explode(made).alias("x"))
+    return rows.select("doc_id", "x.text", "x.n_tok", "sent_id", "first_idx", "char_start", "x.char_end", "x.occ")
 
 
 def _is_title(c: Column) -> Column:
-    return c.rlike(r"^\p{Lu}") & (F.length(c) > 1) & (F.lower(F.substring(c, 2, 1_000)) == F.substring(c, 2, 1_000)) & F.substring(c, 2, 1_000).rlike(r"\p{Ll}")
+    rest = F.substr(c, F.lit(2))
+    return c.rlike(r"^\p{Lu}") & (F.length(c) > 1) & (F.lower(rest) == rest) & rest.rlike(r"\p{Ll}")
 
 
 def heuristic_candidates(tokens: DataFrame, min_length: int = 2, max_length: int = 4) -> DataFrame:

@@ -9,10 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.common import py_strip
+from lexweave.operators.tokens import texts_of
+
 # The patterns used by default.
 DEFAULT_PATTERNS = (
     ({"POS": "NOUN"}, {"POS": "NOUN"}),
@@ -150,26 +153,31 @@ def _follow(tokens: DataFrame, patterns) -> DataFrame:
 
 
 def _windows(t: DataFrame, compiled: list[tuple[int, str, int, int]]) -> DataFrame:
-    """(doc_id, tok_idx, sent_id, char_start, ts, n, k) of every span, for patterns with a longest window."""
+    """(doc_id, tok_idx, sent_id, char_start, ts, n, k) of every span, for patterns with a longest window: one window of
+    ``lead`` over the tokens, and one explode of the lengths that fit."""
     most = max(high for *_, high in compiled)
     w = Window.partitionBy("doc_id").orderBy("tok_idx")
-    ahead = w.rowsBetween(0, most - 1)
-    wide = t.select("doc_id", "tok_idx", "sent_id", "char_start", F.concat_ws("", F.collect_list("code").over(ahead)).alias("codes"), F.collect_list(F.struct("token", "lemma", "pos", "char_end")).over(ahead).alias("ts"))
-    spans = [
-        F.when((F.size("ts") >= n) & F.substring("codes", 1, 2 * n).rlike(regex), F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")))
-        for k, regex, low, high in compiled
-        for n in range(low, high + 1)
-    ]
-    hits = wide.withColumn("hits", F.array_compact(F.array(*spans))).filter(F.size("hits") > 0)
-    once = F.array_distinct(F.transform("hits", lambda h: h["n"]))
-    return hits.select("*", F.explode(once).alias("n")).withColumn("k", F.array_min(F.transform(F.filter("hits", lambda h: h["n"] == F.col("n")), lambda h: h["k"]))).withColumn("ts", F.slice("ts", F.lit(1), F.col("n")))
+    t = t.withColumn("t", F.struct("token", "lemma", "pos", "char_end", "code"))
+    wide = t.select("doc_id", "tok_idx", "sent_id", "char_start", *[(F.lead("t", j).over(w) if j else F.col("t")).alias(f"t{j}") for j in range(most)])
+    fits: dict[int, Column] = {}
+    for n in range(min(low for _, _, low, _ in compiled), most + 1):
+        codes = F.concat(*[F.col(f"t{j}.code") for j in range(n)])  # null where the document ends before
+        fit = [F.when(codes.rlike(regex), F.lit(k)) for k, regex, low, high in compiled if low <= n <= high]
+        if fit:
+            fits[n] = F.coalesce(*fit)
+    found = [F.when(k.isNotNull(), F.struct(F.lit(n).alias("n"), k.alias("k"))) for n, k in fits.items()]
+    hits = wide.withColumn("hit", F.explode(F.array_compact(F.array(*found))))
+    ts = F.slice(F.array(*[F.col(f"t{j}") for j in range(most)]), F.lit(1), F.col("hit.n"))
+    return hits.select("doc_id", "tok_idx", "sent_id", "char_start", ts.alias("ts"), "hit.n", "hit.k")
 
 
 def rule_matches(tokens: DataFrame, documents: DataFrame | None = None, patterns=DEFAULT_PATTERNS, score: float = 0.5, extractor: int = 0) -> DataFrame:
     """Terms in the columns of the C-value extractor: every window of a document's tokens that some pattern matches, sentence
     ends notwithstanding, each span once. Spans are token indices, end exclusive. ``tokens`` need ``pos``.
 
-    The text is that of the document between the tokens' offsets if ``documents`` are given, else the tokens joined by blanks.
+    If ``documents`` are given, the text is that of the document between the tokens' offsets, and the sentence that between
+    the runs of .!? around it, stripped, where ``sent_id`` counts those runs; else the text is the tokens joined by blanks and
+    the sentence empty. Tokens that bring a column ``sentence`` give theirs.
     """
     if "pos" not in tokens.columns:
         raise ValueError("the rule extractor needs parts of speech: give a tagger")
@@ -180,18 +188,21 @@ def rule_matches(tokens: DataFrame, documents: DataFrame | None = None, patterns
         rows = _follow(t, patterns)
     else:
         rows = _windows(t, compiled)
-    text = F.array_join(F.transform("ts", lambda x: x["token"]), " ")
+    text, sentence = F.array_join(F.transform("ts", lambda x: x["token"]), " "), F.lit("")
     if documents is not None:
-        rows = rows.join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
+        ends = F.split(F.col("doc_text"), r"(?<=[.!?])(?![.!?])")
+        rows = rows.join(texts_of(documents).select("doc_id", F.col("text").alias("doc_text")).withColumn("sentences", ends), "doc_id")
         text = F.substring(F.col("doc_text"), F.col("char_start") + 1, F.element_at("ts", -1)["char_end"] - F.col("char_start"))
+        sentence = py_strip(F.coalesce(F.get("sentences", F.col("sent_id")), F.lit("")))
+    if "sentence" in tokens.columns:
+        rows = rows.join(tokens.groupBy("doc_id", "sent_id").agg(F.first("sentence", True).alias("_sentence")), ["doc_id", "sent_id"], "left")
+        sentence = F.coalesce("_sentence", sentence)
     ids = reduce(lambda c, x: c.when(F.col("k") == x, F.lit(zlib.crc32(repr(patterns[x]).encode()))), range(len(patterns)), F.when(F.lit(False), F.lit(0)))
-    out = rows.select(
-        "doc_id", F.lit(extractor).alias("extractor"), text.alias("text"), F.array_join(F.transform("ts", lambda x: x["lemma"]), " ").alias("lemma"), F.col("tok_idx").alias("span_start"),
-        (F.col("tok_idx") + F.col("n")).alias("span_end"), F.lit(float(score)).alias("score"), F.transform("ts", lambda x: x["pos"]).alias("pos_tags"), "sent_id", F.col("n").alias("token_count"), ids.cast("decimal(20,0)").alias("pattern_id"),
-    )
-    sentences = tokens.groupBy("doc_id", "sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x["token"]), " ").alias("sentence"))
     order = Window.partitionBy("doc_id").orderBy("span_start", "span_end")
-    return out.join(sentences, ["doc_id", "sent_id"], "left").select(
-        "doc_id", "extractor", (F.row_number().over(order) - 1).alias("seq"), "text", F.col("text").alias("original_text"), "lemma", "span_start", "span_end", "score", "pos_tags", F.coalesce("sentence", F.lit("")).alias("sentence"),
+    return rows.select(
+        "doc_id", F.lit(extractor).alias("extractor"), text.alias("text"), F.array_join(F.transform("ts", lambda x: x["lemma"]), " ").alias("lemma"), F.col("tok_idx").alias("span_start"),
+        (F.col("tok_idx") + F.col("n")).alias("span_end"), F.lit(float(score)).alias("score"), F.transform("ts", lambda x: x["pos"]).alias("pos_tags"), sentence.alias("sentence"), F.col("n").alias("token_count"), ids.cast("decimal(20,0)").alias("pattern_id"),
+    ).select(
+        "doc_id", "extractor", (F.row_number().over(order) - 1).alias("seq"), "text", F.col("text").alias("original_text"), "lemma", "span_start", "span_end", "score", "pos_tags", "sentence",
         F.lit(1).alias("frequency"), F.lit("rule").alias("extractor_type"), F.lit(None).cast("int").alias("length"), "token_count", "pattern_id",
     )

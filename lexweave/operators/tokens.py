@@ -12,12 +12,17 @@ KEPT = r"^(?:[а-яёА-ЯЁa-zA-Z]{3,}|[.!?]+)\z"
 TOKEN_COLUMNS = ("doc_id", "tok_idx", "token", "lemma", "pos", "char_start", "char_end", "sent_id", "is_stop", "is_punct")
 
 
+def texts_of(documents: DataFrame) -> DataFrame:
+    """(doc_id, text), one partitioning by document for all that is made of the texts: plans that need them twice reuse it."""
+    return documents.filter("text <> ''").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text")).repartition("doc_id")
+
+
 def tokenize(documents: DataFrame) -> DataFrame:
     """(TOKEN_COLUMNS) of documents(doc_id, text): words of three or more Latin or Russian letters. A run of .!? ends a
     sentence and is no token. Offsets count code points. Null and empty texts have no tokens."""
-    pieces = F.regexp_extract_all(F.regexp_replace("text", "\r\n?", "\n"), F.lit(PIECES), F.lit(0))
+    pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
     doc = Window.partitionBy("doc_id").orderBy("i")
-    rows = documents.filter("text <> ''").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(pieces).alias("i", "token"))
+    rows = texts_of(documents).select("doc_id", F.posexplode(pieces).alias("i", "token"))
     rows = rows.withColumn("char_end", F.sum(F.length("token")).over(doc).cast("int"))
     rows = rows.filter(F.col("token").rlike(KEPT)).withColumn("stop", F.col("token").rlike("^[.!?]"))
     rows = rows.withColumn("sent_id", F.sum(F.col("stop").cast("int")).over(doc).cast("int")).filter("NOT stop")

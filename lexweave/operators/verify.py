@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.common import heavy_keys, per_worker, split_join
+from lexweave.common import durable, heavy_keys, per_worker, split_join
 from lexweave.functions.similarity import scorer as scorer_named
 from lexweave.functions.similarity import sort_tokens
 from lexweave.operators.glossary import first_entities, glossary_index
@@ -19,14 +19,16 @@ from lexweave.operators.glossary import first_entities, glossary_index
 BOUNDED = {"ratio", "token_sort_ratio", "QRatio"}
 
 
-def verify_exact(terms: DataFrame, entities: DataFrame) -> DataFrame:
+def verify_exact(terms: DataFrame, entities: DataFrame, cut: bool = True) -> DataFrame:
     """Adds entity_pos, entity_id, entity_label, confidence, status, matched_synonym.
 
     A document's texts and lemmas retrieve the first entity under each; those entities count by their label only. A term
     whose text is such a label is MATCHED with confidence 1, one whose lemma is with 0.5, others are UNKNOWN. Of several
     retrieved entities with one label the first counts. So a synonym alone never matches. Equi-joins only; the glossary
-    side is broadcast where Spark measures it below its limit.
+    side is broadcast where Spark measures it below its limit. The terms are read twice, so their plan is cut by a durable
+    table first, unless ``cut`` is false (terms that are a table already).
     """
+    terms = durable(terms) if cut else terms
     firsts = first_entities(glossary_index(entities)).select("term", "entity_pos")
     names = entities.select("entity_pos", F.lower("label").alias("label"))
     asked = terms.select("doc_id", F.explode(F.array(F.lower("text"), F.lower("lemma"))).alias("term")).distinct()

@@ -152,7 +152,7 @@ def verify_exact(spark, d):
 def verify_exact_typed(spark, d):
     """Typed lemmas differ from texts here, so all branches occur: by label, by lemma, shadowed, by synonym only."""
     terms = read(spark, d, "text_entity").select("te_id", "doc_id", "text", "lemma")
-    return verify.verify_exact(terms, _glossary(spark, d)).select("te_id", "entity_pos", "confidence", "status", "matched_synonym")
+    return verify.verify_exact(terms, _glossary(spark, d), cut=False).select("te_id", "entity_pos", "confidence", "status", "matched_synonym")
 
 
 def _parts(spark, d, each_row=False):
