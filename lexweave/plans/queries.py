@@ -106,6 +106,11 @@ def rule_matches(spark, d):
     return rules.rule_matches(tagger(docs), docs).select("doc_id", "seq", "text", "lemma", "span_start", "span_end", "score", F.array_join("pos_tags", " ").alias("pos_tags"), "token_count")
 
 
+def rule_sentences(spark, d):
+    docs = _docs(spark, d)
+    return rules.rule_matches(tagger(docs), docs).select("doc_id", "seq", "sentence")
+
+
 def candidate_counts(spark, d):
     return cvalue.count_candidates(candidates.heuristic_candidates(tokens.tokenize(_docs(spark, d))), 2).drop("occ")
 
@@ -184,13 +189,13 @@ def verify_fuzzy_terms(spark, d):
     core = read(spark, d, "core_glossary")
     entities = core.select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("entity_pos"), "id", "label", "synonyms")
     terms = read(spark, d, "text_entity").select("te_id", "doc_id", "text", "lemma")
-    return verify.verify_fuzzy(terms, entities).select("te_id", "entity_pos", "confidence", "status", "matched_synonym")
+    return verify.verify_fuzzy(terms, entities).select("te_id", "entity_pos", F.round("confidence", 9).alias("confidence"), "status", "matched_synonym")
 
 
 def verify_fuzzy_glossary(spark, d):
     """All typed terms against the whole delivered glossary, which is sharded where it has more than keys_at_once terms."""
     terms = read(spark, d, "text_entity").select("te_id", "doc_id", "text", "lemma")
-    return verify.verify_fuzzy(terms, _glossary(spark, d)).select("te_id", "entity_pos", "confidence", "status", "matched_synonym")
+    return verify.verify_fuzzy(terms, _glossary(spark, d)).select("te_id", "entity_pos", F.round("confidence", 9).alias("confidence"), "status", "matched_synonym")
 
 
 def report_extraction(spark, d):
@@ -258,7 +263,7 @@ def merge_summary(spark, d):
 QUERIES |= {
     f.__name__: f
     for f in (
-        tokenize, sentence_token_counts, heuristic_candidates, pos_segments, pos_np_candidates, rule_matches, candidate_counts, cvalue_nested, cvalue_ranked, extractor_union, normalize_terms, glossary_index, glossary_lookup,
+        tokenize, sentence_token_counts, heuristic_candidates, pos_segments, pos_np_candidates, rule_matches, rule_sentences, candidate_counts, cvalue_nested, cvalue_ranked, extractor_union, normalize_terms, glossary_index, glossary_lookup,
         verify_exact, verify_exact_typed, verify_fuzzy_ratio, verify_fuzzy_ratio_rows, verify_fuzzy_token_sort, verify_fuzzy_terms, verify_fuzzy_glossary, report_extraction, report_extractor_stats, report_verification, ontology_update, quality_gate, coverage_by_lang, canonical_terms,
         stable_ids, glossary_from_report, glossary_merge, merge_conflicts, merge_summary,
     )
@@ -336,8 +341,9 @@ SQL |= {
     "rule_matches": f"WITH {_RULE} SELECT * FROM rule",
     "candidate_counts": f"WITH {_COUNTED} SELECT doc_id, text, freq, n_tok, span_start, span_end FROM counted WHERE freq >= 2",
     "cvalue_nested": f"""WITH {_POS}, terms AS (SELECT doc_id, text, count(*) AS freq, min(n_tok) AS n_tok FROM np GROUP BY doc_id, text),
-parts AS (SELECT DISTINCT p.doc_id, p.text AS parent, p.freq AS pf, c.text FROM np o JOIN terms p ON o.doc_id = p.doc_id AND o.text = p.text JOIN np c ON c.doc_id = o.doc_id AND c.first_idx >= o.first_idx AND c.first_idx + c.n_tok <= o.first_idx + o.n_tok AND c.n_tok < o.n_tok),
-held AS (SELECT doc_id, text, avg(pf) AS mean_pf FROM parts GROUP BY doc_id, text)
+longer AS (SELECT doc_id, freq, n_tok, string_split(text, ' ') AS w FROM terms WHERE n_tok > 1),
+parts AS (SELECT doc_id, freq, unnest(list_distinct(flatten(list_transform(range(1, n_tok), lambda k: list_transform(range(1, n_tok - k + 2), lambda s: array_to_string(w[s:s + k - 1], ' ')))))) AS text FROM longer),
+held AS (SELECT doc_id, text, avg(freq) AS mean_pf FROM parts GROUP BY doc_id, text)
 SELECT doc_id, text, freq, n_tok, round(CASE WHEN n_tok <= 1 THEN 0.0 ELSE greatest(0.0, log2(n_tok) * (freq - coalesce(mean_pf, 0))) END, 9) AS score FROM terms LEFT JOIN held USING (doc_id, text)""",
     "cvalue_ranked": f"WITH {_RANKED} SELECT * FROM ranked",
     "extractor_union": f"WITH {_RULE}, {_RANKED[len(_TOK) + 2:]} SELECT doc_id, text, lemma, span_start, span_end, score, frequency, extractor_type FROM ranked UNION ALL SELECT doc_id, text, lemma, span_start, span_end, score, 1, 'rule' FROM rule",
@@ -355,9 +361,49 @@ SELECT doc_id, text, freq, n_tok, round(CASE WHEN n_tok <= 1 THEN 0.0 ELSE great
     "canonical_terms": f"SELECT te_id, {_canon('original_text')} AS term FROM text_entity",
     "stable_ids": f"WITH {_from_report(0.5, 1)} SELECT 'ns:' || substr(sha1(key), 1, 10) AS id, key AS label FROM keys",
     "glossary_from_report": f"WITH {_from_report(1.0, 2)} SELECT 'ns:' || substr(sha1(key), 1, 10) AS id, key AS label, synonyms, 'ontology_update' AS source FROM keys",
+}
+
+
+_SORTED = lambda c: f"array_to_string(list_sort(list_filter(string_split_regex({c}, '{_SPACE}+'), lambda x: x <> '')), ' ')"
+
+
+def _nearest(threshold: int, sort: bool) -> str:
+    """best(q, s, key_pos, key) for queries(q) and keys(key, key_pos). Letters in common bound the score, so the longest common
+    subsequence is computed only of pairs that can reach the threshold."""
+    ready = _SORTED if sort else (lambda c: c)
+    letters = lambda t, c: f"SELECT {c}, l, count(*) AS n FROM (SELECT {c}, unnest(string_split(r, '')) AS l FROM {t}) GROUP BY {c}, l"
+    return f"""
+qs AS (SELECT q, {ready('q')} AS r FROM queries), ks AS (SELECT key, key_pos, {ready('key')} AS r FROM keys),
+ql AS ({letters('qs', 'q')}), kl AS ({letters('ks', 'key')}),
+common AS (SELECT q, key, sum(least(ql.n, kl.n)) AS n FROM ql JOIN kl USING (l) GROUP BY q, key),
+near AS (SELECT q, key, key_pos, qs.r AS a, ks.r AS b FROM common JOIN qs USING (q) JOIN ks USING (key) WHERE 200.0 * n >= {threshold} * (length(qs.r) + length(ks.r))),
+scored AS (SELECT q, key, key_pos, 200.0::DOUBLE * {_lcs('a', 'b')} / (length(a) + length(b)) AS s FROM near),
+best AS (SELECT q, max(s) AS s, arg_max(key_pos, (s, -key_pos)) AS key_pos, arg_max(key, (s, -key_pos)) AS key FROM scored WHERE s >= {threshold} GROUP BY q)"""
+
+
+_NAMES = """
+names AS (SELECT p_name, min(p_partkey) AS entity_pos FROM part GROUP BY p_name),
+keys AS (SELECT lower(p_name) AS key, entity_pos AS key_pos FROM names),
+moved AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part),
+queries AS (SELECT DISTINCT list_last(w) || ' ' || array_to_string(list_slice(w, 1, len(w) - 1), ' ') || 'x' AS q FROM moved)"""
+_NEAR = "round(coalesce(s / 100, 0), 9) AS confidence, CASE WHEN s IS NULL THEN 'UNKNOWN' ELSE 'NEAR_MATCH' END AS status, best.key AS matched_synonym"
+_BY_NAME = f"""SELECT {{id}} AS doc_id, q AS text, key_pos AS entity_pos, {_NEAR} FROM (SELECT {{id}}, list_last(string_split(p_name, ' ')) || ' ' || array_to_string(list_slice(string_split(p_name, ' '), 1, len(string_split(p_name, ' ')) - 1), ' ') || 'x' AS q FROM {{rows}}) LEFT JOIN best USING (q)"""
+_TYPED = "asked AS (SELECT te_id, coalesce(nullif(lemma, ''), text, '') AS q FROM text_entity), queries AS (SELECT DISTINCT q FROM asked WHERE q <> '')"
+_BY_TYPED = f"SELECT te_id, key_pos // 1048576 AS entity_pos, {_NEAR} FROM asked LEFT JOIN best USING (q)"
+_INDEXED = "keys AS (SELECT lower(term) AS key, min(entity_pos * 1048576 + term_pos) AS key_pos FROM (SELECT entity_pos, unnest(l) AS term, unnest(range(len(l))) AS term_pos FROM ({entities})) WHERE term IS NOT NULL GROUP BY 1)"
+
+_CORE_KEYS = "SELECT CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) AS entity_pos, list_concat([label], coalesce(synonyms, [])) AS l FROM core_glossary"
+_GIVEN_KEYS = "SELECT entry_id AS entity_pos, list_concat([label], coalesce(synonyms, [])) AS l FROM test_glossary WHERE label IS NOT NULL AND id IS NOT NULL"
+SQL |= {
     "verify_fuzzy_ratio": f"""WITH names AS (SELECT p_name, min(p_partkey) AS entity_pos FROM part GROUP BY p_name),
 terms AS (SELECT entity_pos AS doc_id, list_last(string_split(p_name, ' ')) || ' ' || array_to_string(list_slice(string_split(p_name, ' '), 1, len(string_split(p_name, ' ')) - 1), ' ') || 'x' AS text FROM names),
 pairs AS (SELECT doc_id, text, entity_pos, lower(p_name) AS key, 200.0 * {_lcs('text', "lower(p_name)")} / (length(text) + length(p_name)) AS s FROM terms, names),
 best AS (SELECT doc_id, text, max(s) AS s, arg_max(entity_pos, (s, -entity_pos)) AS entity_pos, arg_max(key, (s, -entity_pos)) AS key FROM pairs GROUP BY doc_id, text)
 SELECT doc_id, text, CASE WHEN s >= 40 THEN entity_pos END AS entity_pos, round(CASE WHEN s >= 40 THEN s / 100 ELSE 0 END, 9) AS confidence, CASE WHEN s >= 40 THEN 'NEAR_MATCH' ELSE 'UNKNOWN' END AS status, CASE WHEN s >= 40 THEN key END AS matched_synonym FROM best""",
+    "verify_fuzzy_ratio_rows": f"WITH {_NAMES}, {_nearest(40, False)} {_BY_NAME.format(id='entity_pos', rows='(SELECT p_partkey AS entity_pos, p_name FROM part)')}",
+    "verify_fuzzy_token_sort": f"WITH {_NAMES}, {_nearest(85, True)} {_BY_NAME.format(id='entity_pos', rows='(SELECT p_partkey AS entity_pos, p_name FROM part)')}",
+    "verify_fuzzy_terms": f"WITH {_TYPED}, {_INDEXED.format(entities=_CORE_KEYS)}, {_nearest(85, True)} {_BY_TYPED}",
+    "verify_fuzzy_glossary": f"WITH {_TYPED}, {_INDEXED.format(entities=_GIVEN_KEYS)}, {_nearest(85, True)} {_BY_TYPED}",
+    "rule_sentences": f"""WITH {_RULE.replace("substr(text, char_start + 1", "sent_id, text AS whole, substr(text, char_start + 1").replace("FROM w WHERE", ", sent_id FROM w WHERE")}
+SELECT doc_id, seq, regexp_replace(coalesce(regexp_extract_all(regexp_replace(whole, '\\r\\n?', chr(10), 'g'), '[^.!?]*[.!?]+|[^.!?]+$')[sent_id + 1], ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS sentence FROM rule""",
 }
