@@ -102,7 +102,34 @@ rows_ AS (SELECT {_STRIP.format("g.id")} AS id, entry_id, coalesce(epoch_us(upda
   FROM test_glossary g LEFT JOIN src ON {_STRIP.format("g.source")} = src.s),
 fit AS (SELECT *, def IS NOT NULL AND def NOT IN ({_PLACEHOLDERS}) AND regexp_matches(def, '[\\p{{L}}\\p{{N}}]') AS meaning FROM rows_ WHERE id <> '')"""
 
+# Canonical records of p4: equal keys are equal records.
+_FORM = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE regexp_replace(lower({c}), '{PUNCT}', '', 'g') END"
+_VALUE = lambda v: f"CASE json_type({v}) WHEN 'VARCHAR' THEN '\"' || regexp_replace(lower({v} ->> '$'), '{PUNCT}', '', 'g') WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract({v}, '$[*]'), lambda y: '\"' || regexp_replace(lower(y ->> '$'), '{PUNCT}', '', 'g')), ',') WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN CAST({v} AS VARCHAR) ELSE CAST(CAST({v} AS DOUBLE) AS VARCHAR) END"
+_RECORDS = f"""
+payloads AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM raw_record),
+recs AS (SELECT 'text_entity' AS tbl, te_id AS row_id, concat_ws('|', coalesce(doc_id::VARCHAR, '-'), coalesce(span_start::VARCHAR, '-'), coalesce(span_end::VARCHAR, '-'), {_FORM('text')}, {_FORM('original_text')}) AS key FROM text_entity
+  UNION ALL SELECT 'test_glossary', entry_id, {_FORM('label')} FROM test_glossary WHERE coalesce({_STRIP.format("source")}, '') <> 'intake_form'
+  UNION ALL SELECT 'raw_record', raw_id, array_to_string(list_sort(list_transform(json_keys(j), lambda k: k || ':' || {_VALUE("json_extract(j, '$.\"' || k || '\"')")})), '|') FROM payloads WHERE j IS NOT NULL),
+firsts AS (SELECT tbl, row_id, min(row_id) OVER (PARTITION BY tbl, key) AS first_id FROM recs)"""
+# Words of p9, and the stretches of twelve that documents share with items.
+_HIDDEN = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{180E}\x{061C}\x{034F}\x{FE00}-\x{FE0F}]+"
+_TAG = r"</?[a-z][^<>\n]{0,200}>|&(?:nbsp|amp|quot|lt|gt|shy|#[0-9]{1,6});"
+_CLEAN = rf"regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(lower(text)), '{_HIDDEN}', '', 'g'), '\r\n?', chr(10), 'g'), '([\p{{L}}\p{{N}}_])[-\x{{2010}}\x{{2011}}\x{{00AD}}][^\S\n]*\n[\s>|*#/]*([\p{{L}}\p{{N}}_])', '\1\2', 'g'), chr(173), ''), '{_TAG}', ' ', 'g')"
+_SHARED = rf"""
+dw AS (SELECT doc_id, regexp_extract_all({_CLEAN}, '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text <> ''),
+iw AS (SELECT item_id, regexp_extract_all({_CLEAN}, '[\p{{L}}\p{{N}}]+') AS w FROM eval_item WHERE text <> ''),
+d12 AS (SELECT doc_id, s, array_to_string(w[s + 1:s + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(len(w) - 11)) AS s FROM dw)),
+i12 AS (SELECT DISTINCT item_id, array_to_string(w[s + 1:s + 12], ' ') AS t FROM (SELECT item_id, w, unnest(range(len(w) - 11)) AS s FROM iw)),
+hits AS (SELECT DISTINCT doc_id, item_id, s FROM d12 JOIN i12 USING (t))"""
+
 SQL = {
+    "p4_found": f"WITH {_RECORDS} SELECT tbl, first_id, row_id AS copy_id FROM firsts WHERE row_id <> first_id",
+    "p4_counts": f"WITH {_RECORDS} SELECT tbl, first_id, count(*) AS copies FROM firsts GROUP BY tbl, first_id",
+    "p9_found": f"WITH {_SHARED} SELECT DISTINCT doc_id, item_id FROM hits",
+    "p9_spans": f"""WITH {_SHARED},
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id, item_id ORDER BY s) + 12 THEN 0 ELSE 1 END AS new FROM hits),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY s) AS run FROM marked)
+SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS word_from, CAST(max(s) + 12 AS INTEGER) AS word_to FROM runs GROUP BY doc_id, item_id, run""",
     "p4_label_copies": f"""
 WITH k AS (SELECT entry_id, CASE WHEN label IS NULL THEN '-' ELSE regexp_replace(lower(label), '{PUNCT}', '', 'g') END AS key FROM test_glossary
   WHERE coalesce({_STRIP.format("source")}, '') <> 'intake_form'),
