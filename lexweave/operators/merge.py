@@ -22,6 +22,7 @@ from lexweave.functions.text import EDGE_CHARS, canonical_term
 ON_MATCH = ("skip", "merge-synonyms", "replace")
 ON_CONFLICT = ("keep-base", "keep-update", "report")
 MERGED = "side int, pos long, part int, id string, label string, synonyms array<string>, relations map<string,array<string>>, definition string, source string"
+OUTCOME_ONLY = ("kind", "conflict_type", "message", "base_id", "update_id", "raw_data")
 OUTCOME = MERGED + ", kind string, conflict_type string, message string, base_id string, update_id string, raw_data string"
 
 
@@ -132,16 +133,18 @@ def _tagged(entities: DataFrame, side: int) -> DataFrame:
     return entities.select(F.lit(side).alias("side"), F.col("entity_pos").alias("pos"), "id", "label", F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"), F.coalesce("relations", F.create_map().cast("map<string,array<string>>")).alias("relations"), "definition", "source")
 
 
-def components(rows: DataFrame, rounds: int = 60) -> DataFrame:
-    """(side, pos, component): entities linked by a shared canonical term, id, or id without a number at its end. Smallest
-    labels spread over nodes and keys, and labels of labels are taken over, until none changes. A key that links a third of
-    all rows is folded map-side."""
+def components(rows: DataFrame) -> DataFrame:
+    """(side, pos, component): entities linked by a shared canonical term, id, or id without a number at its end. A key that
+    no update has links nothing, as entities of the base don't act on each other. Smallest labels spread over nodes and keys,
+    and labels of labels are taken over, until none changes: labels only fall, so that ends however long the chains are. A
+    key that links a third of all rows is folded map-side."""
     node = F.col("pos") * 2 + F.col("side")
     terms = F.transform(F.concat(F.array("label"), "synonyms"), lambda x: F.concat(F.lit("t:"), canonical_term(x)))
     stem = F.concat(F.lit("i:"), F.regexp_replace("id", r"(?:_\d+)+$", ""))
-    links = durable(rows.select(node.alias("node"), F.explode(F.array_distinct(F.concat(F.filter(terms, lambda x: x != "t:"), F.array(stem)))).alias("key")))
+    every = durable(rows.select("side", node.alias("node"), F.explode(F.array_distinct(F.concat(F.filter(terms, lambda x: x != "t:"), F.array(stem)))).alias("key")))
+    links = durable(every.join(every.filter("side = 1").select("key").distinct(), "key", "left_semi").select("node", "key"))
     labels = rows.select(node.alias("node"), node.alias("c"))
-    for _ in range(rounds):
+    while True:
         by_key = links.join(labels, "node").groupBy("key").agg(F.min("c").alias("k"))
         near = links.join(by_key, "key").groupBy("node").agg(F.min("k").alias("k"))
         jump = labels.select(F.col("node").alias("k"), F.col("c").alias("far"))
@@ -182,9 +185,14 @@ def merge_glossaries(base: DataFrame, updates: DataFrame, policy: MergePolicy =
     if compat:
         out = base.sparkSession.createDataFrame(_rows(rows.toPandas(), policy, True).to_dict("records"), OUTCOME)
     else:
-        parts = rows.join(components(rows), ["side", "pos"])
-        out = parts.groupBy("component").applyInPandas(_typed_rows(policy), OUTCOME)
-        out = durable(out)
+        found = components(rows)
+        alone = found.groupBy("component").agg(F.count("*").alias("members")).filter("members = 1").drop("members")
+        parts = durable(rows.join(found, ["side", "pos"]).join(alone.withColumn("alone", F.lit(True)), "component", "left"))
+        # What meets nothing stays or is added as it is; only what acts on each other is folded, a component at a time.
+        single = parts.filter("alone").select("side", "pos", F.lit(0).alias("part"), *[c for c in rows.columns if c not in ("side", "pos")], *[F.lit(None).cast("string").alias(c) for c in OUTCOME_ONLY])
+        added = single.filter("side = 1").select(*["side", "pos", "part"], *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("side", "pos")], *OUTCOME_ONLY)
+        folded = parts.filter("alone IS NULL").drop("alone").groupBy("component").applyInPandas(_typed_rows(policy), OUTCOME)
+        out = durable(folded.unionByName(single.withColumn("kind", F.lit("entity"))).unionByName(added.withColumn("kind", F.lit("added"))))
     merged = out.filter("kind = 'entity'").select("side", "pos", "part", "id", "label", "synonyms", "relations", "definition", "source")
     conflicts = out.filter("kind = 'conflict'").select("pos", "conflict_type", "message", "base_id", "update_id", "raw_data")
     n = lambda k: F.count_if(F.col("kind") == k)

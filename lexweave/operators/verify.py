@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ from lexweave.functions.similarity import sort_tokens
 from lexweave.operators.glossary import first_entities, glossary_index
 
 BOUNDED = {"ratio", "token_sort_ratio", "QRatio"}
+BEST = "q string, s double, p long, k string"
 
 
 def verify_exact(terms: DataFrame, entities: DataFrame, cut: bool = True) -> DataFrame:
@@ -100,40 +100,62 @@ class Matcher:
         return (best[0], *self.keys[best[1]]) if best else None
 
 
+def _scored(matcher: Matcher, queries: pa.Array) -> pa.RecordBatch:
+    hits = [matcher.best(q) for q in queries.to_pylist()]
+    columns = [queries, *[pa.array([h and h[k] for h in hits], t) for k, t in ((0, pa.float64()), (1, pa.int64()), (2, pa.string()))]]
+    return pa.RecordBatch.from_arrays(columns, names=["q", "s", "p", "k"])
+
+
 def _best(queries: DataFrame, keys: list[tuple[int, str]], name: str, threshold: float) -> DataFrame:
+    """The best key of each query; the keys, whose number is bounded, go to the tasks with the code."""
     mark = zlib.crc32(repr((keys, name, threshold)).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = per_worker(("matcher", mark), lambda: Matcher(keys, name, threshold))
-            hits = [m.best(q) for q in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h and h[0] for h in hits], pa.float64()), pa.array([h and h[1] for h in hits], pa.int64()), pa.array([h and h[2] for h in hits], pa.string())], names=["q", "s", "p", "k"])
+            yield _scored(m, b.column(0))
+
+    return queries.mapInArrow(run, BEST)
+
+
+def _best_in_blocks(queries: DataFrame, keys: DataFrame, n_queries: int, n_keys: int, name: str, threshold: float, keys_at_once: int, queries_at_once: int) -> DataFrame:
+    """The same for any number of keys: a grid of blocks, each of about ``keys_at_once`` keys and ``queries_at_once`` queries,
+    that one task scores at a time; the winners of a query's blocks merge by a maximum. Nothing goes through the driver."""
+    shards, blocks = -(-n_keys // keys_at_once), max(1, -(-n_queries // queries_at_once))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("_q", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
+    held = keys.select("key_pos", "term", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
+
+    def run(mine: pa.Table, those: pa.Table) -> pa.Table:
+        found = list(zip(those.column("key_pos").to_pylist(), those.column("term").to_pylist()))
+        q = mine.column("_q").combine_chunks()
+        q = q.chunk(0) if isinstance(q, pa.ChunkedArray) and q.num_chunks else pa.array(q.to_pylist(), pa.string())
+        return pa.Table.from_batches([_scored(Matcher(found, name, threshold), q)])
 
-    return queries.mapInArrow(run, "q string, s double, p long, k string")
+    best = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(run, BEST).filter("s IS NOT NULL")
+    return best.groupBy("q").agg(F.max_by(F.struct("s", "p", "k"), F.struct("s", -F.col("p"))).alias("x")).select("q", "x.*")
 
 
-def verify_fuzzy(terms: DataFrame, entities: DataFrame, threshold: float = 85, scorer: str = "token_sort_ratio", limit: int = 3, keys_at_once: int = 20_000) -> DataFrame:
+def verify_fuzzy(terms: DataFrame, entities: DataFrame, threshold: float = 85, scorer: str = "token_sort_ratio", limit: int = 3, keys_at_once: int = 20_000, queries_at_once: int = 20_000) -> DataFrame:
     """Adds the columns of :func:`verify_exact`. A term's lemma, or else its text, is compared with all glossary terms; the
     best score of at least ``threshold`` makes it a NEAR_MATCH (at 100 too) with confidence score/100; equal scores go to
     the term that the glossary names first. ``limit`` never changes the answer. Empty queries are UNKNOWN.
 
-    Distinct queries are scored once. The glossary's terms are counted first: up to ``keys_at_once`` go to the tasks with
-    the code, more are sharded, and the shards' winners merge by a maximum. Hot queries skip the shuffle of the join back.
+    Distinct queries are scored once, and the winners kept in a durable table before they are joined back. The glossary's
+    terms are counted first: up to ``keys_at_once`` go to the tasks with the code, more are scored in blocks (see
+    :func:`_best_in_blocks`). Hot queries skip the shuffle of the join back.
     """
     scorer_named(scorer)
     q = F.coalesce(F.when(F.col("lemma") != "", F.col("lemma")), F.col("text"), F.lit(""))
     rows = terms.withColumn("_q", q)
-    counts = rows.filter("_q <> ''").groupBy("_q").agg(F.count("*").alias("n"))
-    keys = first_entities(glossary_index(entities))
-    shards = max(1, -(-keys.count() // keys_at_once))
-    parts = [
-        _best(counts.select("_q"), [(r.key_pos, r.term) for r in (keys.filter(F.pmod(F.xxhash64("term"), F.lit(shards)) == k) if shards > 1 else keys).select("key_pos", "term").collect()], scorer, threshold)
-        for k in range(shards)
-    ]
-    best = reduce(DataFrame.unionByName, parts).filter("s IS NOT NULL")
-    if shards > 1:
-        best = best.groupBy("q").agg(F.max_by(F.struct("s", "p", "k"), F.struct("s", -F.col("p"))).alias("x")).select("q", "x.*")
-    best = best.select(F.col("q").alias("_q"), F.col("s").alias("_s"), F.col("p").alias("_p"), F.col("k").alias("_k"))
+    counts = durable(rows.filter("_q <> ''").groupBy("_q").agg(F.count("*").alias("n")))
+    keys = first_entities(glossary_index(entities)).select("key_pos", "term")
+    n_keys = keys.count()
+    if n_keys <= keys_at_once:
+        best = _best(counts.select("_q"), [tuple(r) for r in keys.collect()], scorer, threshold).filter("s IS NOT NULL")
+    else:
+        best = _best_in_blocks(counts.select("_q"), keys, counts.count(), n_keys, scorer, threshold, keys_at_once, queries_at_once)
+    best = durable(best.select(F.col("q").alias("_q"), F.col("s").alias("_s"), F.col("p").alias("_p"), F.col("k").alias("_k")))
     joined = split_join(rows, best, "_q", heavy_keys(counts, "_q"), "left")
     near = F.col("_s").isNotNull()
     joined = joined.withColumns(
