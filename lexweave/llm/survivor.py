@@ -63,10 +63,11 @@ def survivors(entries: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def discover(entries: DataFrame, sources: DataFrame, rounds: int = 8, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+def discover(entries: DataFrame, sources: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """Truth discovery. A source's claim is a value of a field of an id; equal claims of one source count once. In turns,
     a value's support is the sum of its sources' weights, and a source's weight the mean share of support that its claims
-    have (smoothed by its trust level as the start). Ends when no weight moves by more than ``tolerance``.
+    have (smoothed by its trust level as the start). Ends when no weight moves by more than ``tolerance``; if ``rounds``
+    turns don't get there, an error says so and nothing comes out.
 
     Returns (values: id, field, value, support), the highest-supported value per id and field, ties to the smallest value,
     and (weights: source, weight). Placeholders and blanks claim nothing; unlisted and null sources act as one source.
@@ -93,6 +94,8 @@ def discover(entries: DataFrame, sources: DataFrame, rounds: int = 8, tolerance:
         weights = fresh
         if moved is None or moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"weights still moved by {moved} after {rounds} rounds: raise rounds or tolerance")
     support = claims.join(weights, "s").groupBy("id", "field", "value").agg(F.sum("w").alias("support"))
     best = support.groupBy("id", "field").agg(F.min_by(F.struct("value", "support"), F.struct(-F.col("support"), "value")).alias("b"))
     return best.select("id", "field", "b.value", "b.support"), weights.select(F.col("s").alias("source"), F.col("w").alias("weight"))
