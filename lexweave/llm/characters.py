@@ -9,15 +9,15 @@ the script is settled by the letters that only one script has, then the longest
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.common import per_worker
+from lexweave.common import durable, heavy_keys, per_worker, split_join
 
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC_AS_LATIN = {
@@ -214,40 +214,52 @@ def _skeletons(t: Transducer) -> tuple[dict[str, str], str]:
     return letters, gone
 
 
-def script_votes(vals: DataFrame, bound: int = 50_000) -> dict[str, str]:
-    """The usual script of each word whose letters could be Latin or Russian, where it is written in more than one way (in
-    one script, in both mixed, with Greek, accented or wide letters): what most of all values use of the two plain ones.
-    Counts come from all values. Only words written in several ways come to the driver; beyond ``bound`` of them an error
-    names the parameter, so nothing is dropped."""
+def _words_and_key() -> tuple[Column, Callable[[Column], Column]]:
+    """The words of ``value`` whose letters could be of either script, and the key of such a word: its skeleton."""
     letters, gone = _skeletons(Transducer())
     alike = "".join(sorted(letters))
-    words = vals.select(F.explode(F.regexp_extract_all(F.regexp_replace("value", rf"[\p{{Cf}}{gone}]", ""), F.lit(rf"(?<![\p{{L}}\p{{M}}])([{alike}\p{{M}}]++)(?!\p{{L}})"), F.lit(1))).alias("w"))
+    words = F.regexp_extract_all(F.regexp_replace("value", rf"[\p{{Cf}}{gone}]", ""), F.lit(rf"(?<![\p{{L}}\p{{M}}])([{alike}\p{{M}}]++)(?!\p{{L}})"), F.lit(1))
+    return words, lambda w: F.translate(F.regexp_replace(w, r"\p{M}", ""), alike, "".join(letters[c] for c in alike))
+
+
+def script_votes(vals: DataFrame) -> DataFrame:
+    """(k, script): the usual script of each word whose letters could be Latin or Russian, where it is written in more than
+    one way (in one script, in both mixed, with Greek, accented or wide letters): what most of all values use of the two
+    plain ones. Counts come from all values."""
+    words, key = _words_and_key()
     russian, latin = "асеорхуАВСЕНКМОРТХУ", "aceopxyABCEHKMOPTXY"
-    key = F.translate(F.regexp_replace("w", r"\p{M}", ""), alike, "".join(letters[c] for c in alike))
     is_latin, is_russian = F.col("w").rlike(f"^[{latin}]+$"), F.col("w").rlike(f"^[{russian}]+$")
-    counts = words.groupBy(key.alias("k")).agg(F.count_if(is_latin).alias("l"), F.count_if(is_russian).alias("c"), F.count("*").alias("n"))
-    rows = counts.filter("l < n AND c < n AND l <> c").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} words are written in both scripts: raise bound")
-    return {r.k: "L" if r.l > r.c else "C" for r in rows}
+    counts = vals.select(F.explode(words).alias("w")).groupBy(key(F.col("w")).alias("k")).agg(F.count_if(is_latin).alias("l"), F.count_if(is_russian).alias("c"), F.count("*").alias("n"))
+    return counts.filter("l < n AND c < n AND l <> c").select("k", F.when(F.col("l") > F.col("c"), "L").otherwise("C").alias("script"))
 
 
-def plain_values(vals: DataFrame, votes: dict[str, str]) -> DataFrame:
-    """Adds ``plain``: the value in its one consistent form. One pass over Arrow batches, no shuffle."""
+def plain_values(vals: DataFrame, votes: DataFrame, bound: int = 50_000) -> DataFrame:
+    """Adds ``plain``: the value in its one consistent form, in one pass over Arrow batches. Up to ``bound`` votes, counted
+    first, go to the tasks with the code, without a shuffle; more are joined to the values that hold their words."""
+    few = votes.limit(bound + 1).collect()
+    known = {r.k: r.script for r in few} if len(few) <= bound else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = per_worker("transducer", Transducer)
         for b in batches:
-            plain = [t.apply(v, votes) for v in b.column("value").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(plain, pa.string())], names=[*b.schema.names, "plain"])
-
+            own = [dict(x or ()) for x in b.column("votes").to_pylist()] if known is None else [known] * b.num_rows
+            plain = [t.apply(v, w) for v, w in zip(b.column("value").to_pylist(), own)]
+            kept = [c for c in b.schema.names if c != "votes"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(plain, pa.string())], names=[*kept, "plain"])
+
+    if known is None:
+        words, key = _words_and_key()
+        asked = vals.select("value").distinct().select("value", F.explode(F.array_distinct(F.transform(words, key))).alias("k"))
+        found = asked.join(votes, "k").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("k", "script"))).alias("votes"))
+        hot = heavy_keys(vals.groupBy("value").agg(F.count("*").alias("n")), "value")
+        vals = split_join(vals, found, "value", hot, "left").select(*vals.columns, "votes")
     return vals.mapInArrow(run, "tbl string, row_id long, pos_no int, value string, plain string")
 
 
 def one_form(text_entity: DataFrame, test_glossary: DataFrame) -> DataFrame:
     """(tbl, row_id, pos_no, value, plain) of all values. Null values have no row; empty ones stay empty."""
     vals = values(text_entity, test_glossary)
-    return plain_values(vals, script_votes(vals))
+    return plain_values(vals, durable(script_votes(vals)))
 
 
 def lookalikes_found(text_entity: DataFrame, test_glossary: DataFrame) -> DataFrame:
