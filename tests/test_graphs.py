@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 
@@ -35,8 +36,8 @@ def brute_orphans(rows):
     return out
 
 
-@pytest.mark.parametrize("share", [0.01, 0.2, 2.0])
-def test_orphans_match_brute_force(spark, share):
+@pytest.mark.parametrize(("share", "hot_rows"), [(0.01, 100_000), (0.2, 0), (2.0, 0)])
+def test_orphans_match_brute_force(spark, share, hot_rows):
     r = random.Random(3)
     ids = [f"id{k}" for k in range(12)] + ["gone"]
     rows = []
@@ -45,8 +46,12 @@ def test_orphans_match_brute_force(spark, share):
         rel = r.choice([None, {}, {"part_of": [target() for _ in range(r.randrange(4))]}, {"used_in": [target()], "part_of": None, "hyponym": ["gone"]}])
         at = r.choice([None, *range(0, 200, 3)])
         rows.append((r.choice([*ids[:-1], " Id2 ", None, ""]), rel, at, None if at is None or r.random() < 0.5 else at + r.randrange(-2, 60)))
-    got = check_references(table(spark, rows), share=share).filter("orphan").select("entry_id", "relation", "target_id").collect()
-    assert len(got) == len(set(got)) and {tuple(x) for x in got} == brute_orphans(rows)
+    every = check_references(table(spark, rows), share=share, hot_rows=hot_rows).collect()
+    got = [(x.entry_id, x.relation, x.target_id) for x in every if x.orphan]
+    assert len(got) == len(set(got)) and set(got) == brute_orphans(rows)
+    month = lambda x: x.ref_at and f"{x.ref_at:%Y-%m}"
+    want = {k: (n, Counter((x.relation, month(x)) for x in every if x.orphan)[k]) for k, n in Counter((x.relation, month(x)) for x in every).items()}
+    assert {(x.relation, x.month): (x.n_refs, x.n_orphans) for x in orphan_counts(table(spark, rows)).collect()} == want
 
 
 def test_orphans_of_nothing_and_counts(spark):
