@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexweave.common import per_worker
 
 # Stop words of the heuristic mode.
 STOP_WORDS = ("и", "в", "на", "с", "по", "для", "не", "от", "за", "до", "из", "о", "об", "and", "in", "on", "for", "not", "with", "at", "to", "of", "a", "the")
@@ -41,6 +48,55 @@ def tokenize(documents: DataFrame) -> DataFrame:
     )
 
 
+TAGGED = "tok_idx int, token string, lemma string, pos string, char_start int, char_end int, sent_id int, is_stop boolean, is_punct boolean, sentence string"
+
+
+class MissingModel(RuntimeError):
+    """A language model isn't installed."""
+
+
+def tokenize_with(documents: DataFrame, load: Callable[[], Callable[[str], Iterable]], key: str) -> DataFrame:
+    """(TOKEN_COLUMNS, sentence) by a model: ``load`` makes, once per Python worker, a function from a text to its sentences,
+    each (text, tokens) with tokens (token, lemma, pos, char_start, is_stop, is_punct). Punctuation is kept, white space
+    isn't. Batches pass through Arrow; a document stays whole in its row. ``key`` names the model."""
+    schema = T.StructType([documents.schema["doc_id"], *T.StructType.fromDDL(TAGGED).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag, names = per_worker(("model", key), load), schema.names
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                rows, k = [], 0
+                for sent_id, (sentence, tokens) in enumerate(tag(text)):
+                    for token, lemma, pos, start, stop, punct in tokens:
+                        if not token.isspace():
+                            rows.append((k, token, lemma.lower(), pos, start, start + len(token), sent_id, stop, punct, sentence.strip()))
+                            k += 1
+                if rows:
+                    columns = [pa.array(c, arrow_types[j]) for j, c in enumerate(zip(*rows))]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(rows), batch.schema.field(0).type), *columns], names=names)
+
+    arrow_types = [{"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in schema.fields[1:]]
+    return texts_of(documents).mapInArrow(run, schema)
+
+
+def model_tagger(model: str) -> Callable[[DataFrame], DataFrame]:
+    """Tokens by an installed spaCy model. Without the library or the model MissingModel is raised at once."""
+    try:
+        import spacy
+    except ImportError as e:
+        raise MissingModel(f"{model}: spaCy isn't installed") from e
+    if not spacy.util.is_package(model) and not os.path.isdir(model):
+        raise MissingModel(f"model {model} isn't installed")
+
+    def load():
+        import spacy
+
+        nlp = spacy.load(model)
+        return lambda text: [(s.text, [(t.text, t.lemma_, t.pos_, t.idx, t.is_stop, t.is_punct) for t in s]) for s in nlp(text).sents]
+
+    return lambda documents: tokenize_with(documents, load, model)
+
+
 def sentence_counts(tokens: DataFrame) -> DataFrame:
     """(doc_id, sent_id, n_tokens, first_idx): tokens by sentence; sentence numbers may have gaps."""
     return tokens.groupBy("doc_id", "sent_id").agg(F.count("*").alias("n_tokens"), F.min("tok_idx").alias("first_idx"))

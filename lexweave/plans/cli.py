@@ -11,10 +11,11 @@ import sys
 
 from lexweave.operators.glossary import from_candidates
 from lexweave.operators.merge import ON_CONFLICT, ON_MATCH, MergePolicy, merge_glossaries
+from lexweave.operators.tokens import MissingModel
 from lexweave.plans.config import ConfigError, discover
 from lexweave.plans.pipeline import from_config
-from lexweave.sources.files import read_glossary, read_suggestions, read_texts
-from lexweave.sources.sinks import write_glossary, write_json
+from lexweave.sources.files import open_source, read_suggestions, read_texts
+from lexweave.sources.sinks import write_glossary, write_glossary_rows, write_json
 
 OK, GATE, USAGE, INTERNAL = range(4)
 
@@ -98,15 +99,18 @@ def main(argv: list[str] | None = None, spark=None, tagger=None) -> int:
             write_glossary(from_candidates(terms, args.namespace, args.min_score, args.min_frequency), args.out, ("label",))
             return OK
         if args.command == "glossary":
-            merged, conflicts, summary = merge_glossaries(read_glossary(spark, args.base), read_glossary(spark, args.updates), MergePolicy(args.on_match, args.on_conflict))
-            write_glossary(merged, args.out, ("side", "pos", "part"))
+            merged, conflicts, summary = merge_glossaries(open_source(spark, args.base), open_source(spark, args.updates), MergePolicy(args.on_match, args.on_conflict))
+            if args.out.rstrip("/").endswith((".parquet", ".jsonl")):
+                write_glossary_rows(merged, args.out)
+            else:
+                write_glossary(merged, args.out, ("side", "pos", "part"))
             if args.conflicts_out:
                 write_json(args.conflicts_out, [{k: v for k, v in r.asDict().items() if k != "pos"} | {"raw_data": json.loads(r.raw_data)} for r in conflicts.orderBy("pos").collect()])
             if args.summary_out:
                 write_json(args.summary_out, summary.first().asDict())
             return OK
-        if tagger is None and "rule" in c.extractors:
-            logging.warning("no tagger given: the rule extractor is left out")
+        if tagger is None and "rule" in c.extractors and not c.rules.get("model"):
+            logging.warning("no tagger or model given: the rule extractor is left out")
             c.extractors = [x for x in c.extractors if x != "rule"]
         reports = from_config(spark, c, tagger).run_and_collect(read_texts(spark, args.files))
         for r in reports:
@@ -114,7 +118,7 @@ def main(argv: list[str] | None = None, spark=None, tagger=None) -> int:
                 print(f"coverage {r['coverage_pct']:.1f} % ({r['processed_items']} of {r['total_items']} terms)")
         gate = next((r for r in reports if r["report_type"] == "quality_gate"), None)
         return GATE if args.command == "verify" and args.fail_on_quality_gate and not (gate and gate["quality_pass"]) else OK
-    except (ConfigError, ValueError, FileNotFoundError) as e:
+    except (ConfigError, ValueError, FileNotFoundError, MissingModel) as e:
         print(f"error: {e}", file=sys.stderr)
         return USAGE
     except Exception as e:  # noqa: BLE001

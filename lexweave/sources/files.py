@@ -75,13 +75,13 @@ def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _suggestion_rows(spark: SparkSession, path: str) -> DataFrame:
-    fields = [f for f in TERM.split(", ") if f.split()[0] not in ("extractor", "span_start", "span_end", "properties")]
+    fields = [f for f in TERM.split(", ") if f.split()[0] not in ("extractor", "span_start", "span_end")]
     rows = spark.read.schema(", ".join([*fields, "span array<int>"])).option("mode", "FAILFAST").json(path)
     text = F.coalesce("text", F.lit(""))
     return rows.select(
         F.coalesce("doc_id", F.lit("")).alias("doc_id"), F.lit(0).alias("extractor"), "seq", text.alias("text"), F.coalesce("original_text", text).alias("original_text"), F.coalesce("lemma", text).alias("lemma"),
         F.col("span")[0].alias("span_start"), F.col("span")[1].alias("span_end"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("pos_tags", F.array().cast("array<string>")).alias("pos_tags"),
-        F.coalesce("sentence", F.lit("")).alias("sentence"), F.coalesce("frequency", F.lit(1)).alias("frequency"), F.coalesce("extractor_type", F.lit("")).alias("extractor_type"), F.create_map().cast("map<string,string>").alias("properties"),
+        F.coalesce("sentence", F.lit("")).alias("sentence"), F.coalesce("frequency", F.lit(1)).alias("frequency"), F.coalesce("extractor_type", F.lit("")).alias("extractor_type"), F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"),
     )
 
 

@@ -7,6 +7,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexweave import __version__
 
@@ -32,6 +33,13 @@ def write_glossary(entities: DataFrame, path: str, order: tuple[str, ...] = ("en
     return write_json(path, [entity_dict(r) for r in rows.toLocalIterator()])
 
 
+def write_glossary_rows(entities: DataFrame, path: str) -> None:
+    """A large merged glossary as Parquet or JSON lines, by the executors, with ``entity_pos`` in the order of the merge."""
+    names = ("id", "label", "synonyms", "relations", "definition", "source")
+    rows = entities.orderBy("side", "pos", "part").select(F.monotonically_increasing_id().alias("entity_pos"), *names)
+    getattr(rows.write.mode("overwrite"), "parquet" if path.rstrip("/").endswith(".parquet") else "json")(path)
+
+
 def write_report(report: dict, path: str | Path) -> Path:
     meta = {"report_type": report["report_type"], "timestamp": datetime.datetime.now().isoformat(), "lexweave_version": __version__}
     return write_json(path, {"metadata": meta, "data": {k: v for k, v in report.items() if v is not None and v != {}}})
@@ -45,5 +53,5 @@ def export_reports(reports: list[dict], output_dir: str | Path, exporters: tuple
 
 
 def write_rows(df: DataFrame, path: str, report_type: str) -> None:
-    """Bulk export: JSON lines under <path>/<report_type>, written by the executors."""
-    df.write.mode("overwrite").json(f"{path.rstrip('/')}/{report_type}")
+    """Bulk export: JSON lines under <path>/<report_type>, written by the executors; nulls stay."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path.rstrip('/')}/{report_type}")

@@ -1,16 +1,22 @@
 """Merge, sources, sinks, configuration, pipeline, command line, streaming."""
 
+import datetime as dt
 import json
 import random
+import re
 
 import pytest
 
+from lexweave.operators.cvalue import extract_cvalue
 from lexweave.operators.merge import ON_CONFLICT, ON_MATCH, MergePolicy, fold, merge_glossaries
+from lexweave.operators.reports import QualityGates
+from lexweave.operators.rules import rule_matches
+from lexweave.operators.tokens import MissingModel, tokenize_with
 from lexweave.plans import cli, config
 from lexweave.plans.pipeline import ReportConfig, pipeline
 from lexweave.schema import ENTITY
 from lexweave.sources import files, sinks
-from lexweave.streaming.stream import stream_documents
+from lexweave.streaming.stream import rolling_coverage, stream_documents
 
 
 def entity(i, label, synonyms=(), definition=None, source=None):
@@ -143,3 +149,59 @@ def test_long_lists_go_whole_to_rows(spark, folder):
     for name in ("short", "long dir"):
         assert cli.main(["glossary", "from-report", "--report", str(folder / name / "ontology_update.json"), "--out", str(folder / f"{name}.json")], spark) == 0
     assert json.loads((folder / "short.json").read_text()) == json.loads((folder / "long dir.json").read_text())
+
+
+def test_verification_lists_matches_and_documents(spark, folder):
+    docs = files.read_texts(spark, str(folder / "doc.txt"))
+    glossary = files.read_glossary(spark, str(folder / "g.json"))
+    made = lambda **kw: {r["report_type"]: r for r in pipeline().with_cvalue(threshold=0).normalize().verify(glossary).report(ReportConfig(**kw)).run_and_collect(docs)}
+    short, long = made(output_dir=str(folder / "a")), made(output_dir=str(folder / "b"), listed=1)
+    matches = {m["text_entity"]["text"]: m for m in short["verification"]["matches"]}
+    assert matches["machine learning"]["entity"] == {"id": "t:1", "label": "machine learning", "synonyms": ["ML"], "relations": {}}
+    assert matches["machine learning"]["status"] == "MATCHED" and matches["learning helps"] | {"text_entity": 0, "doc_id": 0} == {"text_entity": 0, "doc_id": 0, "entity": None, "confidence": 0.0, "status": "UNKNOWN", "matched_synonym": None}
+    assert matches["learning helps"]["text_entity"]["properties"] == {"length": "2"}
+    assert [(d["total_items"], d["coverage_pct"], d["exit_code"]) for d in short["verification"]["documents"]] == [(4, 50.0, 1)]
+    kept = [json.loads(x.value) for x in spark.read.text(long["verification"]["matches_rows"]["path"]).collect()]
+    assert len(kept) == 4 and all("entity" in x and "matched_synonym" in x for x in kept)
+    # the pipeline's gate is the operator's
+    strict = QualityGates(10.0, 50, 0.9, True)
+    assert made(gates=QualityGates(10.0, 50))["quality_gate"]["quality_pass"] and made(gates=strict)["quality_gate"]["quality_pass"]
+    assert not made(gates=QualityGates(10.0, 50, 1.1, True))["quality_gate"]["quality_pass"]
+    assert made(include=("quality_gate",))["quality_gate"]["exit_code"] == 1
+
+
+def test_model_tokens_reach_punctuation_patterns(spark):
+    def fake_model():
+        pos = {"red": "ADJ", "input": "NOUN", "output": "NOUN", "runs": "VERB", "-": "PUNCT", ".": "PUNCT"}
+
+        def tag(text):
+            out = []
+            for m in re.finditer(r"[^.]+\.?", text):
+                tokens = [(t[0], t[0].upper(), pos.get(t[0], "X"), m.start() + t.start(), False, pos.get(t[0]) == "PUNCT") for t in re.finditer(r"\w+|[-.]|\s", m[0])]
+                out.append((m[0], tokens))
+            return out
+
+        return tag
+
+    docs = spark.createDataFrame([(1, "red input-output runs. input runs output."), (2, None), (3, "")], "doc_id long, text string")
+    tokens = tokenize_with(docs, fake_model, "fake")
+    assert [(t.token, t.lemma, t.sent_id) for t in tokens.orderBy("tok_idx").collect()][:4] == [("red", "red", 0), ("input", "input", 0), ("-", "-", 0), ("output", "output", 0)]
+    got = {(r.text, r.sentence) for r in rule_matches(tokens, docs).collect()}
+    assert got == {("red input", "red input-output runs."), ("input-output", "red input-output runs."), ("input runs output", "input runs output.")}
+    with pytest.raises(MissingModel):
+        pipeline().with_rules(model="no_such_model")
+    assert extract_cvalue(docs, tagger=lambda d: tokenize_with(d, fake_model, "fake")).count() > 0
+    assert pipeline().with_cvalue(model="no_such_model").run(docs).count() > 0  # the heuristic mode
+
+
+def test_merge_of_rows(spark, folder):
+    assert cli.main(["glossary", "merge", "--base", str(folder / "g.json"), "--updates", str(folder / "g.json"), "--out", str(folder / "m.parquet")], spark) == 0
+    assert cli.main(["glossary", "merge", "--base", str(folder / "m.parquet"), "--updates", str(folder / "g.json"), "--out", str(folder / "m.jsonl")], spark) == 0
+    assert [(r.id, r.entity_pos) for r in files.open_source(spark, str(folder / "m.jsonl")).orderBy("entity_pos").collect()] == [("t:1", 0), ("t:2", 1)]
+
+
+def test_rolling_coverage(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(at, "MATCHED"), (at + dt.timedelta(minutes=59), "UNKNOWN"), (at + dt.timedelta(hours=1), "NEAR_MATCH")], "t timestamp, status string")
+    got = rolling_coverage(rows, "t").orderBy("window_start").collect()
+    assert [(r.window_start, r.total_items, r.processed_items) for r in got] == [(at, 2, 1), (at + dt.timedelta(hours=1), 1, 1)]
