@@ -1,14 +1,15 @@
 """Mapping of freely typed values to a canonical list (problem 5).
 
-The reference's labels and synonyms are forms: multisets of words. Words of a value that no form has are searched in a
-BK-tree of the reference's words (and, for values typed without spaces, of its joined forms) with a radius of two edits;
-of the answers an edit of one letter, one exchange of neighbours, an inflection or a marked abbreviation counts. A value
+The reference's labels and synonyms are forms: multisets of words. Two BK-trees under the Levenshtein distance are searched
+with a radius of two edits, and give every answer within it: one of the reference's words, for each word of a value that no
+form has, and one of the entries' whole forms without spaces, for values split into words otherwise than the form. Of the
+answers an edit of one letter, one exchange of neighbours, an inflection or a marked abbreviation counts. A value
 stands for a form if its words and the form's match one to one; the cheapest entry wins. A word that the reference knows
 is never read as another one, and a word left over means something else. Slips count in words of at least four letters in
 the reference; neither the words of a value nor their letters nor their candidates are otherwise limited.
 
-Rows are mapped where they lie: no shuffle, no pairs. A reference above ``forms_at_once`` forms is sharded by entry; each
-shard's winners then merge by a minimum per row.
+Rows are mapped where they lie: no shuffle, no pairs. A reference above ``forms_at_once`` forms is sharded by entry, and
+distinct values are matched with each shard in blocks; the shards' winners then merge by a minimum per value.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import product
 from math import inf, prod
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.common import norm_id, per_worker
+from lexweave.common import durable, heavy_keys, non_blank, norm_id, per_worker, split_join
 from lexweave.llm.bktree import BKTree, swapped
 
 # Words that add nothing to a value.
@@ -36,6 +36,7 @@ KEYS = dict(zip("qwertyuiop[]asdfghjkl;'zxcvbnm,.`", "йцукенгшщзхъф
 # Endings by which Russian word forms differ, the empty one included.
 ENDINGS = frozenset("а я о е и ы у ю ь й ов ев ей ам ям ом ем ём ой ах ях ами ями ого его ому ему ый ий ая яя ое ее ые ие ых их ым им ую юю ью ия ию ии ием иям иями иях".split()) | {""}
 RUSSIAN = re.compile("[а-я]")
+JOINED, JOINED_SLIP = 100.0, 200.0  # costs of a form split into words otherwise: it counts only where no form's words match
 CHOICES = 1_000  # choices of candidates that are tried one by one; of more, forms are looked up and assigned
 
 
@@ -54,6 +55,12 @@ def swap_keys(text: str) -> str:
     return "".join(KEYS.get(c, c) for c in text)
 
 
+def swapped_reading(text: str) -> list[tuple[float, list[tuple[str, bool]]]]:
+    """(cost, words) of a text of Latin letters if Russian was meant."""
+    words = words_of(swap_keys(text.strip())) if re.search("[a-z]", text) and not RUSSIAN.search(text) else []
+    return [(0.05, words)] if words else []
+
+
 def inflected(word: str, known: str) -> bool:
     """Whether both are forms of one word: equal but for an ending."""
     if RUSSIAN.match(known):
@@ -101,6 +108,7 @@ class Reference:
         self.by_words: dict[tuple[str, ...], str] = {}
         self.by_word: dict[tuple[int, str], list[tuple[str, ...]]] = {}  # forms by their number of words and each word
         self.joined: dict[str, str] = {}
+        self.parts: dict[str, set[int]] = {}  # numbers of words that the forms with these joined letters have
         self.latin: dict[str, list[str]] = {}
         self.words: set[str] = set()
         for entry, form in sorted(forms):
@@ -108,8 +116,8 @@ class Reference:
             if not ws:
                 continue
             self.by_words.setdefault(tuple(sorted(ws)), entry)
-            if len(ws) > 1:
-                self.joined.setdefault("".join(ws), entry)
+            self.joined.setdefault("".join(ws), entry)
+            self.parts.setdefault("".join(ws), set()).add(len(ws))
             self.words.update(ws)
         self.sizes = set(map(len, self.by_words))
         for w in self.words:
@@ -117,10 +125,11 @@ class Reference:
                 self.latin.setdefault("".join(LATIN.get(c, c) for c in w), []).append(w)
         for j, e in list(self.joined.items()):
             if RUSSIAN.match(j):
-                self.joined.setdefault("".join(LATIN.get(c, c) for c in j), e)
+                self.joined.setdefault(latin := "".join(LATIN.get(c, c) for c in j), e)
+                self.parts.setdefault(latin, set()).update(self.parts[j])
         self.known = known | self.words
         self.tree = BKTree([*self.words, *self.latin])
-        self.joined_tree: BKTree | None = None
+        self.entry_tree: BKTree | None = None
         self.prefixes: dict[str, set[str]] = {}
         for w in self.words:
             for k in range(3, len(w)):
@@ -206,16 +215,13 @@ class Reference:
         for v in values:
             text = clean(v)
             these = [(0.0, words_of(text))]
-            known = all(w in self.words or w in FILLERS for w, _ in these[0][1])
-            if not known and re.search("[a-z]", text) and not RUSSIAN.search(text):
-                swapped_words = words_of(swap_keys(text.strip()))
-                if swapped_words:
-                    these.append((0.05, swapped_words))
+            if any(w not in self.known and w not in FILLERS for w, _ in these[0][1]):
+                these += swapped_reading(text)
             readings.append(these)
         self._search({w for these in readings for _, ws in these for w, _ in ws if w not in self.words and w not in FILLERS and not w.isdigit()})
         longest = max(map(len, self.joined), default=0) + 2
         out: list[tuple[float, str] | None] = []
-        left: list[tuple[int, str]] = []
+        left: list[tuple[int, str, int]] = []
         for k, these in enumerate(readings):
             found = []
             for cost, ws in these:
@@ -227,20 +233,21 @@ class Reference:
                     for some in (ws, bare):
                         j = "".join(w for w, _ in some)
                         if j in self.joined:
-                            found.append((0.3 + cost, self.joined[j]))
-                        elif len(some) == 1 and 3 <= len(j) <= longest and j not in self.known:
-                            left.append((k, j))
+                            found.append((JOINED + cost, self.joined[j]))
+                        elif 3 <= len(j) <= longest and j not in self.known and any(w not in self.known for w, _ in some):
+                            left.append((k, j, len(some)))
             out.append(min(found) if found else None)
-        left = [(k, j) for k, j in left if out[k] is None]
-        todo = sorted({j for _, j in left if j not in self.near_joined})
-        if todo and self.joined_tree is None:
-            self.joined_tree = BKTree(list(self.joined))
-        for j, hits in zip(todo, self.joined_tree.search(todo, 2) if todo else ()):
+        left = [x for x in left if out[x[0]] is None]
+        todo = sorted({j for _, j, _ in left if j not in self.near_joined})
+        if todo and self.entry_tree is None:
+            self.entry_tree = BKTree(list(self.joined))
+        for j, hits in zip(todo, self.entry_tree.search(todo, 2) if todo else ()):
             self.near_joined[j] = [(w, d) for w, d in hits if len(w) > 3 and (d == 1 or swapped(j, w))]
-        for k, j in left:
+        for k, j, n in left:
             for w, _ in self.near_joined[j]:
-                found = (1.3, self.joined[w])
-                out[k] = found if out[k] is None or found < out[k] else out[k]
+                if self.parts[w] != {n}:  # split alike, the words have to match one to one
+                    found = (JOINED_SLIP, self.joined[w])
+                    out[k] = found if out[k] is None or found < out[k] else out[k]
         return out
 
 
@@ -281,23 +288,56 @@ def _map(values: DataFrame, forms: list[tuple[str, str]], known: set[str], rows_
     return values.select("tbl", F.col("row_id").cast("long"), "value").mapInArrow(run, "tbl string, row_id long, value string, core_id string, cost double")
 
 
-def map_values(values: DataFrame, reference: DataFrame, forms_at_once: int = 100_000) -> DataFrame:
+def map_values(values: DataFrame, reference: DataFrame, forms_at_once: int = 100_000, values_at_once: int = 50_000) -> DataFrame:
     """(tbl, row_id, value, core_id, cost) of all rows of values(tbl, row_id, value); core_id is null for unmatched, null
     and blank values. ``reference(id, label, synonyms)`` is counted first; up to ``forms_at_once`` forms go to the tasks
-    with the code, more are sharded by entry. Ids come out trimmed and in lower case; equal costs go to the smallest id."""
+    with the code, more are matched in blocks (see :func:`_map_in_blocks`) with the same answers. Ids come out trimmed and in lower case; equal costs go to the smallest id."""
     forms = reference.select(norm_id(F.col("id")).alias("id"), F.explode(F.concat(F.array("label"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("form")).filter("form IS NOT NULL AND id <> ''")
-    shards = max(1, -(-forms.count() // forms_at_once))
-    if shards == 1:
+    n_forms = forms.count()
+    if n_forms <= forms_at_once:
         return _map(values, [tuple(r) for r in forms.collect()], set())
-    known = set()
-    parts = []
-    for k in range(shards):
-        rows = [tuple(r) for r in forms.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).collect()]
-        known |= {w for _, form in rows for w, _ in words_of(clean(form))}
-        parts.append(rows)
-    winners = reduce(DataFrame.unionByName, [_map(values, rows, known) for rows in parts])
-    best = F.min(F.when(F.col("core_id").isNotNull(), F.struct("cost", "core_id")))
-    return winners.groupBy("tbl", "row_id").agg(F.first("value").alias("value"), best.alias("b")).select("tbl", "row_id", "value", "b.core_id", "b.cost")
+    return _map_in_blocks(values, forms, -(-n_forms // forms_at_once), values_at_once)
+
+
+def _words(df: DataFrame, column: str, readings: bool) -> DataFrame:
+    """(column, word): the words of a column's cleaned text, with ``readings`` also those of the other keyboard and the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = set()
+            for v in b.column(0).to_pylist():
+                every = [words_of(clean(v))] + ([ws for _, ws in swapped_reading(clean(v))] if readings else [])
+                pairs |= {(v, w) for ws in every for w in [*(w for w, _ in ws), *(["".join(w for w, _ in ws)] if readings else [])]}
+            both = sorted(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in both], pa.string()) for k in (0, 1)], names=[column, "word"])
+
+    return df.select(column).mapInArrow(run, f"{column} string, word string")
+
+
+def _map_in_blocks(values: DataFrame, forms: DataFrame, shards: int, values_at_once: int) -> DataFrame:
+    """The mapping for any reference: a grid of blocks, each of one shard of the entries and about ``values_at_once`` distinct
+    values, that one task matches at a time. A value comes with those of its words that some entry anywhere knows, so all
+    shards decide alike, and the cheapest of the shards' winners is that of the whole reference. Nothing goes through the
+    driver; hot values skip the shuffle of the join back."""
+    asked = values.filter(non_blank(F.col("value"))).select("value").distinct()
+    known = _words(asked, "value", True).join(_words(forms, "form", False).select("word").distinct(), "word", "left_semi")
+    asked = durable(asked.join(known.groupBy("value").agg(F.collect_set("word").alias("known")), "value", "left"))
+    blocks = max(1, -(-asked.count() // values_at_once))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select("value", "known", place("value", blocks).alias("block"), every(shards).alias("shard"))
+    right = forms.select("id", "form", place("id", shards).alias("shard"), every(blocks).alias("block"))
+
+    def run(mine: pa.Table, those: pa.Table) -> pa.Table:
+        found, texts = list(zip(those.column("id").to_pylist(), those.column("form").to_pylist())), mine.column("value").to_pylist()
+        hits = Reference(found, {w for ws in mine.column("known").to_pylist() for w in ws or ()}).match(texts)
+        return pa.table({"value": pa.array(texts, pa.string()), "core_id": pa.array([h and h[1] for h in hits], pa.string()), "cost": pa.array([h and h[0] for h in hits], pa.float64())})
+
+    hits = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "value string, core_id string, cost double")
+    best = hits.filter("core_id IS NOT NULL").groupBy("value").agg(F.min(F.struct("cost", "core_id")).alias("b"))
+    best = durable(best.select("value", "b.core_id", "b.cost"))
+    hot = heavy_keys(values.groupBy("value").agg(F.count("*").alias("n")), "value")
+    return split_join(values.select("tbl", F.col("row_id").cast("long").alias("row_id"), "value"), best, "value", hot).select("tbl", "row_id", "value", "core_id", "cost")
 
 
 def mapped_found(text_entity: DataFrame, test_glossary: DataFrame, core_glossary: DataFrame) -> DataFrame:

@@ -163,6 +163,26 @@ def test_mapping_has_no_longest_value(spark, monkeypatch):
     assert sum(x is not None for x in want) > 20 and [x and (round(x[0], 9), x[1]) for x in got] == [x and (round(x[0], 9), x[1]) for x in want]
 
 
+def test_mapping_in_blocks_gives_the_same(spark):
+    rng = random.Random(11)
+    words = "concept drift sparse protein parser filter данные понятие датчик пойменный сеть reporter index".split()
+    rows = [(f"c:{k:02}", " ".join(rng.sample(words, rng.randrange(1, 4))), [" ".join(rng.sample(words, 2))] if k % 3 else None) for k in range(25)]
+    core = spark.createDataFrame(rows, "id string, label string, synonyms array<string>")
+
+    def typed(form):
+        k = rng.randrange(len(form))
+        kind = rng.randrange(6)
+        return [form, form[:k] + form[k + 1 :], form.replace(" ", ""), " ".join(reversed(form.split())), form[:k] + " " + form[k:], form + " " + rng.choice(words)][kind]
+
+    values = [typed(rng.choice(rows)[1]) for _ in range(150)] + [None, "", " ", "lfnxbr", "dannye"] * 2
+    vals = spark.createDataFrame([("t", k, v) for k, v in enumerate(values)], "tbl string, row_id long, value string")
+    want = {r.row_id: (r.core_id, r.cost) for r in mapping.map_values(vals, core).collect()}
+    assert len(want) == len(values) and sum(c is not None for c, _ in want.values()) > 60
+    for forms, at_once in ((3, 1000), (10, 20), (1, 60)):
+        got = {r.row_id: (r.core_id, r.cost) for r in mapping.map_values(vals, core, forms, at_once).collect()}
+        assert got == want
+
+
 # 7
 def test_survivors(spark):
     import datetime as dt
