@@ -77,11 +77,12 @@ def partitions_for(df: DataFrame, at_least: int = 1) -> int:
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str = "n", share: float = 0.01) -> list:
-    """Keys holding at least ``share`` of all rows, from pre-aggregated counts: never more than 1/share keys."""
+    """Keys holding at least ``share`` of all rows, from pre-aggregated counts: never more than 1/share keys. Null, which no
+    equi-join matches, is none."""
     total = counts.agg(F.sum(n)).first()[0] or 0
     if not total:
         return []
-    return [r[0] for r in counts.filter(F.col(n) >= F.lit(max(2.0, share * total))).select(key).collect()]
+    return [r[0] for r in counts.filter(F.col(key).isNotNull() & (F.col(n) >= F.lit(max(2.0, share * total)))).select(key).collect()]
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str, heavy: list, how: str = "left", rows_per_key: int | None = 1,
