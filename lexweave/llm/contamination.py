@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.common import durable, per_worker
 from lexweave.llm.fmindex import FMIndex
 
 SPANS = "doc_id long, item_id long, word_from int, word_to int"
@@ -46,29 +49,37 @@ def make_splitter():
     return words
 
 
+class Phrases:
+    """All phrases of ``min_words`` words of some items: words as numbers, one line a phrase, and the items that have it."""
+
+    def __init__(self, items: list[tuple[int, str]], min_words: int) -> None:
+        split = make_splitter()
+        self.number: dict[str, int] = {}
+        phrases: dict[tuple[int, ...], list[int]] = {}
+        for item_id, text in items:
+            ws = [self.number.setdefault(w, len(self.number) + 1) for w in split(text or "")]
+            for i in range(len(ws) - min_words + 1):
+                owners = phrases.setdefault(tuple(ws[i : i + min_words]), [])
+                if not owners or owners[-1] != item_id:
+                    owners.append(item_id)
+        self.patterns = np.array(list(phrases), np.int64).reshape(-1, min_words)
+        self.lengths = np.array([len(o) for o in phrases.values()], np.int64)
+        self.owner_of = np.array([o for owners in phrases.values() for o in owners], np.int64)
+        self.owner_at = np.concatenate(([0], np.cumsum(self.lengths))).astype(np.int64)
+
+
 def _search(documents: DataFrame, items: list[tuple[int, str]], min_words: int, shard_words: int) -> DataFrame:
-    split = make_splitter()
-    number: dict[str, int] = {}
-    phrases: dict[tuple[int, ...], list[int]] = {}
-    for item_id, text in items:
-        ws = [number.setdefault(w, len(number) + 1) for w in split(text or "")]
-        for i in range(len(ws) - min_words + 1):
-            owners = phrases.setdefault(tuple(ws[i : i + min_words]), [])
-            if not owners or owners[-1] != item_id:
-                owners.append(item_id)
-    patterns = np.array(list(phrases), np.int64).reshape(-1, min_words)
-    lengths = np.array([len(o) for o in phrases.values()], np.int64)
-    owner_of = np.array([o for owners in phrases.values() for o in owners], np.int64)
-    owner_at = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-
-    def shard(runs: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch | None:
+    """Hits of these items. Their phrases are made by the tasks, once per Python worker."""
+    mark = zlib.crc32(repr((items, min_words)).encode())
+
+    def shard(p: Phrases, runs: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch | None:
         """runs: (doc_id, number of the first word in the document, words)."""
         seq = np.zeros(sum(len(r[2]) + 1 for r in runs), np.int64)
         at = np.cumsum([0] + [len(r[2]) + 1 for r in runs])[:-1]
         for a, (_, _, ws) in zip(at.tolist(), runs):
             seq[a : a + len(ws)] = ws
         index = FMIndex(seq)
-        low, high = index.ranges(patterns)
+        low, high = index.ranges(p.patterns)
         hit = np.flatnonzero(high > low)
         if not len(hit):
             return None
@@ -78,8 +89,8 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], min_words: int,
         run = np.searchsorted(at, pos, side="right") - 1
         doc = np.array([r[0] for r in runs], np.int64)[run]
         start = np.array([r[1] for r in runs], np.int64)[run] + pos - at[run]
-        n = lengths[pattern]  # a phrase may belong to several items
-        item = owner_of[np.repeat(owner_at[pattern], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        n = p.lengths[pattern]  # a phrase may belong to several items
+        item = p.owner_of[np.repeat(p.owner_at[pattern], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         doc, start = np.repeat(doc, n), np.repeat(start, n)
         order = np.lexsort((start, item, doc))
         doc, item, start = doc[order], item[order], start[order]
@@ -91,8 +102,8 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], min_words: int,
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "word_from", "word_to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = make_splitter()
-        get = number.get
+        words, p = make_splitter(), per_worker(("phrases", mark), lambda: Phrases(items, min_words))
+        get = p.number.get
         held: list[tuple[int, int, np.ndarray]] = []
         size = 0
         for b in batches:
@@ -109,10 +120,10 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], min_words: int,
                     held.append((doc_id, a, ids[a:z]))
                     size += z - a + 1
                 if size >= shard_words:
-                    if (out := shard(held)) is not None:
+                    if (out := shard(p, held)) is not None:
                         yield out
                     held, size = [], 0
-        if held and (out := shard(held)) is not None:
+        if held and (out := shard(p, held)) is not None:
             yield out
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SPANS)
@@ -123,18 +134,16 @@ def leaked_spans(documents: DataFrame, eval_items: DataFrame, min_words: int = 1
     words of an item in order. Null and empty texts have none; neither have items shorter than ``min_words``.
 
     Items go to the tasks with the code. Their size is summed first: above ``chars_at_once`` they are searched in several
-    passes, each of items of about that size, so no task ever holds more phrases than that. A row without id is left out.
+    passes one after the other, each of items of about that size and with its hits kept in a durable table, so neither the
+    driver nor a task ever holds more items than those of one pass. A row without id is left out.
     """
-    from functools import reduce
-
     items = eval_items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // chars_at_once))
-    parts = []
-    for k in range(passes):
-        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else items
-        parts.append(_search(documents, [(r[0], r[1]) for r in some.collect()], min_words, shard_words))
-    return reduce(DataFrame.unionByName, parts)
+    of = lambda some: _search(documents, sorted(tuple(r) for r in some.collect()), min_words, shard_words)
+    if passes == 1:
+        return of(items)
+    return reduce(DataFrame.unionByName, [durable(of(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k))) for k in range(passes)])
 
 
 def leaks_found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
