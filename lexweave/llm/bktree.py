@@ -22,20 +22,17 @@ def encode(words: list[str], width: int | None = None) -> tuple[np.ndarray, np.n
 def distances(word: str, columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Levenshtein distance of ``word`` to each of the words whose characters lie in ``columns`` (one row a position)."""
     width, n = columns.shape
-    kind = np.int16
-    row = np.repeat(np.arange(width + 1, dtype=kind)[:, None], n, 1)
+    kind = np.int8 if max(width, len(word)) < 60 else np.int32
+    at = np.arange(width + 1, dtype=kind)[:, None]
+    row, new = np.repeat(at, n, 1), np.empty((width + 1, n), kind)
     for k, c in enumerate(word, 1):
-        code = ord(c)
-        differs = columns != code
-        left = np.full(n, k, kind)
-        new = np.empty_like(row)
-        new[0] = left
-        best = np.minimum(row[1:] + 1, row[:-1] + differs)
-        for j in range(width):
-            left = np.minimum(best[j], left + 1)
-            new[j + 1] = left
-        row = new
-    return row[lengths, np.arange(n)]
+        new[0] = k
+        np.minimum(row[1:] + 1, row[:-1] + (columns != ord(c)), out=new[1:])
+        new -= at  # letters left out of the words: a running minimum along the slope
+        np.minimum.accumulate(new, axis=0, out=new)
+        new += at
+        row, new = new, row
+    return row[lengths, np.arange(n)].astype(np.int32)
 
 
 def swapped(a: str, b: str) -> bool:
