@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lexweave.common import read
 from lexweave.llm import characters, contamination, dedup, frequency, mapping, packing, survivor, toxicity
 
@@ -49,7 +51,8 @@ def p7_found(spark, d):
 
 
 def p7_discovered(spark, d):
-    return survivor.discover(read(spark, d, "test_glossary"), read(spark, d, "glossary_source"))[0]
+    values = survivor.discover(read(spark, d, "test_glossary"), read(spark, d, "glossary_source"))[0]
+    return values.withColumn("support", F.round("support", 4))
 
 
 def p8_containers(spark, d):
@@ -102,6 +105,27 @@ rows_ AS (SELECT {_STRIP.format("g.id")} AS id, entry_id, coalesce(epoch_us(upda
   FROM test_glossary g LEFT JOIN src ON {_STRIP.format("g.source")} = src.s),
 fit AS (SELECT *, def IS NOT NULL AND def NOT IN ({_PLACEHOLDERS}) AND regexp_matches(def, '[\\p{{L}}\\p{{N}}]') AS meaning FROM rows_ WHERE id <> '')"""
 
+# Truth discovery of p7: turns written out, more of them than it needs to settle.
+_SPACE = r"[\s\x1c-\x1f\x85\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PY_STRIP = lambda c: f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_SYNONYMS = f"list_sort(list_distinct(list_filter(list_transform(synonyms, lambda x: lower({_PY_STRIP('x')})), lambda x: x IS NOT NULL AND x <> '')))"
+_CLAIMS = f"""
+src AS MATERIALIZED (SELECT {_STRIP.format("source")} AS source, min(trust_level) AS trust FROM glossary_source WHERE trim(source) <> '' GROUP BY 1),
+g AS MATERIALIZED (SELECT {_STRIP.format("g.id")} AS id, coalesce(src.source, '') AS s, coalesce(src.trust, 1000000) AS trust, src.source AS source, {_PY_STRIP("definition")} AS definition,
+  regexp_replace({_STRIP.format("definition")}, '[\\s.…!]+$', '') AS bare, array_to_string({_SYNONYMS}, ' | ') AS synonyms FROM test_glossary g LEFT JOIN src ON {_STRIP.format("g.source")} = src.source),
+claims AS MATERIALIZED (SELECT id, field, value, s, min(trust) AS trust FROM (
+  SELECT id, 'definition' AS field, definition AS value, s, trust FROM g WHERE bare NOT IN ({_PLACEHOLDERS}) AND regexp_matches(bare, '[\\p{{L}}\\p{{N}}]')
+  UNION ALL SELECT id, 'synonyms', synonyms, s, trust FROM g WHERE synonyms <> '' UNION ALL SELECT id, 'source', source, s, trust FROM g WHERE source IS NOT NULL) WHERE id <> '' GROUP BY 1, 2, 3, 4),
+w0 AS MATERIALIZED (SELECT s, 1.0::DOUBLE / (1 + least(min(trust), 20)) AS w FROM claims GROUP BY s)"""
+
+
+def _turn(k: int) -> str:
+    return f"""
+u{k} AS MATERIALIZED (SELECT id, field, value, sum(w) AS support FROM claims JOIN w{k - 1} USING (s) GROUP BY 1, 2, 3),
+t{k} AS MATERIALIZED (SELECT id, field, sum(support) AS total FROM u{k} GROUP BY 1, 2),
+w{k} AS MATERIALIZED (SELECT s, 0.5 * avg(support / total) + 0.5 * any_value(w0.w) AS w FROM claims JOIN u{k} USING (id, field, value) JOIN t{k} USING (id, field) JOIN w0 USING (s) GROUP BY s)"""
+
+
 # Canonical records of p4: equal keys are equal records.
 _FORM = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE regexp_replace(lower({c}), '{PUNCT}', '', 'g') END"
 _VALUE = lambda v: f"CASE json_type({v}) WHEN 'VARCHAR' THEN '\"' || regexp_replace(lower({v} ->> '$'), '{PUNCT}', '', 'g') WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract({v}, '$[*]'), lambda y: '\"' || regexp_replace(lower(y ->> '$'), '{PUNCT}', '', 'g')), ',') WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN CAST({v} AS VARCHAR) ELSE CAST(CAST({v} AS DOUBLE) AS VARCHAR) END"
@@ -125,6 +149,9 @@ hits AS (SELECT DISTINCT doc_id, item_id, s FROM d12 JOIN i12 USING (t))"""
 SQL = {
     "p4_found": f"WITH {_RECORDS} SELECT tbl, first_id, row_id AS copy_id FROM firsts WHERE row_id <> first_id",
     "p4_counts": f"WITH {_RECORDS} SELECT tbl, first_id, count(*) AS copies FROM firsts GROUP BY tbl, first_id",
+    "p7_discovered": f"""WITH {_CLAIMS}, {", ".join(map(_turn, range(1, 21)))},
+best AS (SELECT id, field, value, sum(w) AS support FROM claims JOIN w20 USING (s) GROUP BY 1, 2, 3)
+SELECT id, field, arg_min(value, (-round(support, 6), value)) AS value, round(max(support), 4) AS support FROM best GROUP BY id, field""",
     "p9_found": f"WITH {_SHARED} SELECT DISTINCT doc_id, item_id FROM hits",
     "p9_spans": f"""WITH {_SHARED},
 marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id, item_id ORDER BY s) + 12 THEN 0 ELSE 1 END AS new FROM hits),

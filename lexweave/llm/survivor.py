@@ -63,14 +63,26 @@ def survivors(entries: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def discover(entries: DataFrame, sources: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+def _shapes(claims: DataFrame) -> DataFrame:
+    """(shape, times, part, n, s): what weights depend on. The shape of a field of an id is which sets of sources stand for
+    how many of its values; equal shapes, of which there are few however many ids, are counted (``times``). So the turns
+    read this table only, and the claims are shuffled once."""
+    sets = claims.groupBy("id", "field", "value").agg(F.array_sort(F.collect_set("s")).alias("ss"))
+    parts = sets.groupBy("id", "field", "ss").agg(F.count("*").alias("n"))
+    shapes = parts.groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("ss", "n"))).alias("parts")).groupBy("parts").agg(F.count("*").alias("times"))
+    shapes = durable(shapes.withColumn("shape", F.monotonically_increasing_id()))
+    each = shapes.select("shape", "times", F.posexplode("parts").alias("part", "x"))
+    return durable(each.select("shape", "times", "part", F.col("x.n").alias("n"), F.explode("x.ss").alias("s")))
+
+
+def discover(entries: DataFrame, sources: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """Truth discovery. A source's claim is a value of a field of an id; equal claims of one source count once. In turns,
     a value's support is the sum of its sources' weights, and a source's weight the mean share of support that its claims
     have (smoothed by its trust level as the start). Ends when no weight moves by more than ``tolerance``; if ``rounds``
     turns don't get there, an error says so and nothing comes out.
 
-    Returns (values: id, field, value, support), the highest-supported value per id and field, ties to the smallest value,
-    and (weights: source, weight). Placeholders and blanks claim nothing; unlisted and null sources act as one source.
+    Returns (values: id, field, value, support), the highest-supported value per id and field, and (weights: source, weight).
+    Supports that agree to six digits are ties, which go to the smallest value, so the order of sums never decides. Placeholders and blanks claim nothing; unlisted and null sources act as one source.
     """
     rows = with_trust(entries, sources)
     source = F.when(F.col("_listed"), F.col("_source")).otherwise("")
@@ -81,14 +93,13 @@ def discover(entries: DataFrame, sources: DataFrame, rounds: int = 200, toleranc
     }
     claims = reduce(DataFrame.unionByName, [rows.select("id", F.lit(k).alias("field"), v.alias("value"), source.alias("s"), "_trust") for k, v in fields.items()])
     claims = durable(claims.filter("value IS NOT NULL").groupBy("id", "field", "value", "s").agg(F.min("_trust").alias("_trust")))
-    weights = claims.groupBy("s").agg((F.lit(1.0) / (1 + F.least(F.min("_trust"), F.lit(20)))).alias("w"))
-    prior = durable(weights.withColumnRenamed("w", "w0"))
-    weights = prior.withColumnRenamed("w0", "w")
+    prior = durable(claims.groupBy("s").agg((F.lit(1.0) / (1 + F.least(F.min("_trust"), F.lit(20)))).alias("w0")))
+    weights, shapes = prior.withColumnRenamed("w0", "w"), _shapes(claims)
     for _ in range(rounds):
-        support = claims.join(weights, "s").groupBy("id", "field", "value").agg(F.sum("w").alias("support"), F.collect_set("s").alias("ss"))
-        total = support.groupBy("id", "field").agg(F.sum("support").alias("all"))
-        share = support.join(total, ["id", "field"]).select(F.explode("ss").alias("s"), (F.col("support") / F.col("all")).alias("share"))
-        fresh = share.groupBy("s").agg(F.avg("share").alias("m")).join(prior, "s").select("s", (0.5 * F.col("m") + 0.5 * F.col("w0")).alias("w"))
+        support = shapes.join(weights, "s").groupBy("shape", "part").agg(F.sum("w").alias("support"), F.first("times").alias("times"), F.first("n").alias("n"), F.collect_list("s").alias("ss"))
+        total = support.groupBy("shape").agg(F.sum(F.col("support") * F.col("n")).alias("all"))
+        share = support.join(total, "shape").select(F.explode("ss").alias("s"), (F.col("times") * F.col("n")).alias("n"), (F.col("support") / F.col("all")).alias("share"))
+        fresh = share.groupBy("s").agg((F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("m")).join(prior, "s").select("s", (0.5 * F.col("m") + 0.5 * F.col("w0")).alias("w"))
         fresh = durable(fresh)
         moved = fresh.join(weights.withColumnRenamed("w", "old"), "s").agg(F.max(F.abs(F.col("w") - F.col("old")))).first()[0]
         weights = fresh
@@ -97,5 +108,5 @@ def discover(entries: DataFrame, sources: DataFrame, rounds: int = 200, toleranc
     else:
         raise RuntimeError(f"weights still moved by {moved} after {rounds} rounds: raise rounds or tolerance")
     support = claims.join(weights, "s").groupBy("id", "field", "value").agg(F.sum("w").alias("support"))
-    best = support.groupBy("id", "field").agg(F.min_by(F.struct("value", "support"), F.struct(-F.col("support"), "value")).alias("b"))
+    best = support.groupBy("id", "field").agg(F.min_by(F.struct("value", "support"), F.struct(-F.round("support", 6), "value")).alias("b"))
     return best.select("id", "field", "b.value", "b.support"), weights.select(F.col("s").alias("source"), F.col("w").alias("weight"))
