@@ -210,6 +210,13 @@ def test_discovery_finds_the_reliable_source(spark):
 
 
 # 8
+def test_tokens_of_endless_blanks(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 3_000_000 + "b"), (2, "a" + " " * 300 + "b"), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.tokens for r in packing.token_counts(docs).collect()}
+    enc = packing.load_tokenizer(packing.TOKENIZER)
+    assert got[2] == len(enc.encode_ordinary("a" + " " * 300 + "b")) and got[3] == 0 and got[1] > got[2]
+
+
 def test_packing(spark):
     rng = random.Random(6)
     sizes = [0, 1, 2048, 2049, 5000, *[rng.randrange(1, 1500) for _ in range(500)]]
