@@ -7,6 +7,8 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again, so that a lost executor costs no recomputation of
-    what came before. The table is removed when the driver's process ends, or by :func:`release`."""
+    what came before. The table is removed at the end of the :func:`scope` it was written in, else by :func:`release` or when
+    the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -42,9 +45,9 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Remove the tables written by :func:`durable`."""
-    while _written:
+def release(kept: int = 0) -> None:
+    """Remove the tables written by :func:`durable`, all but the first ``kept``."""
+    while len(_written) > kept:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -54,6 +57,17 @@ def release() -> None:
             return
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written by :func:`durable` inside are removed at the end: for sessions that run many queries. What they give
+    has to be written or collected inside."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(before)
+
+
 atexit.register(release)
 
 

@@ -9,11 +9,13 @@ import json
 import logging
 import sys
 
+from lexweave.common import scope
 from lexweave.operators.glossary import from_candidates
 from lexweave.operators.merge import ON_CONFLICT, ON_MATCH, MergePolicy, merge_glossaries
 from lexweave.operators.tokens import MissingModel
 from lexweave.plans.config import ConfigError, discover
 from lexweave.plans.pipeline import from_config
+from lexweave.plans.timing import timed
 from lexweave.sources.files import open_source, read_suggestions, read_texts
 from lexweave.sources.sinks import write_glossary, write_glossary_rows, write_json
 
@@ -35,6 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     v.add_argument("--threshold", type=float)
     v.add_argument("--output-dir")
     v.add_argument("--fail-on-quality-gate", action="store_true")
+    v.add_argument("--first-file", action="store_true", help="print and gate on the first file's figures only")
     v.add_argument("--min-coverage", type=float)
     v.add_argument("--max-unknown", type=int)
     v.add_argument("--min-quality-score", type=float)
@@ -77,6 +80,18 @@ def _configured(args):
     return c
 
 
+def _merge(spark, args) -> None:
+    merged, conflicts, summary = merge_glossaries(open_source(spark, args.base), open_source(spark, args.updates), MergePolicy(args.on_match, args.on_conflict))
+    if args.out.rstrip("/").endswith((".parquet", ".jsonl")):
+        write_glossary_rows(merged, args.out)
+    else:
+        write_glossary(merged, args.out, ("side", "pos", "part"))
+    if args.conflicts_out:
+        write_json(args.conflicts_out, [{k: v for k, v in r.asDict().items() if k != "pos"} | {"raw_data": json.loads(r.raw_data)} for r in conflicts.orderBy("pos").collect()])
+    if args.summary_out:
+        write_json(args.summary_out, summary.first().asDict())
+
+
 def main(argv: list[str] | None = None, spark=None, tagger=None) -> int:
     try:
         args = _parser().parse_args(argv)
@@ -99,23 +114,20 @@ def main(argv: list[str] | None = None, spark=None, tagger=None) -> int:
             write_glossary(from_candidates(terms, args.namespace, args.min_score, args.min_frequency), args.out, ("label",))
             return OK
         if args.command == "glossary":
-            merged, conflicts, summary = merge_glossaries(open_source(spark, args.base), open_source(spark, args.updates), MergePolicy(args.on_match, args.on_conflict))
-            if args.out.rstrip("/").endswith((".parquet", ".jsonl")):
-                write_glossary_rows(merged, args.out)
-            else:
-                write_glossary(merged, args.out, ("side", "pos", "part"))
-            if args.conflicts_out:
-                write_json(args.conflicts_out, [{k: v for k, v in r.asDict().items() if k != "pos"} | {"raw_data": json.loads(r.raw_data)} for r in conflicts.orderBy("pos").collect()])
-            if args.summary_out:
-                write_json(args.summary_out, summary.first().asDict())
+            with scope():
+                _merge(spark, args)
             return OK
         if tagger is None and "rule" in c.extractors and not c.rules.get("model"):
             logging.warning("no tagger or model given: the rule extractor is left out")
             c.extractors = [x for x in c.extractors if x != "rule"]
-        reports = from_config(spark, c, tagger).run_and_collect(read_texts(spark, args.files))
-        for r in reports:
-            if r["report_type"] == "verification":
-                print(f"coverage {r['coverage_pct']:.1f} % ({r['processed_items']} of {r['total_items']} terms)")
+        with scope(), timed("run"):
+            pipe, files = from_config(spark, c, tagger), args.files
+            reports = pipe.run_and_collect(read_texts(spark, files))
+            if args.command == "verify" and args.first_file and len(files) > 1:
+                reports = pipe.run_and_collect(read_texts(spark, files[:1]), export=False)
+        verification = next((r for r in reports if r["report_type"] == "verification"), None)
+        if verification:
+            print(f"coverage {verification['coverage_pct']:.1f} % ({verification['processed_items']} of {verification['total_items']} terms)")
         gate = next((r for r in reports if r["report_type"] == "quality_gate"), None)
         return GATE if args.command == "verify" and args.fail_on_quality_gate and not (gate and gate["quality_pass"]) else OK
     except (ConfigError, ValueError, FileNotFoundError, MissingModel) as e:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 from pathlib import Path
 
@@ -89,10 +89,12 @@ class Pipeline:
             out = fn(out)
         return out
 
-    def run_and_collect(self, documents: DataFrame) -> list:
+    def run_and_collect(self, documents: DataFrame, export: bool = True) -> list:
         """Rows of the last stage, or the reports over all documents if a report was asked for."""
         out = self.run(documents)
-        return out.collect() if self._report is None else make_reports(out, self._report, self._glossary)
+        if self._report is None:
+            return out.collect()
+        return make_reports(out, self._report if export else replace(self._report, output_dir=None), self._glossary)
 
 
 def pipeline(tagger: Stage | None = None) -> Pipeline:

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexweave.common import scope
+
 
 def stream_documents(documents: DataFrame, plan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Writes ``plan`` of each micro-batch to Parquet under ``path``, one folder a batch; a batch that runs again after a
-    failure replaces its folder, so no row comes twice."""
+    failure replaces its folder, so no row comes twice. Tables that the plan needs on the way go with the batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        plan(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with scope():
+            plan(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

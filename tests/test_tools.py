@@ -1,12 +1,17 @@
 """Merge, sources, sinks, configuration, pipeline, command line, streaming."""
 
+import asyncio
 import datetime as dt
 import json
+import logging
+import os
 import random
 import re
 
 import pytest
 
+from lexweave import common
+from lexweave.common import durable, scope
 from lexweave.operators.cvalue import extract_cvalue
 from lexweave.operators.merge import ON_CONFLICT, ON_MATCH, MergePolicy, fold, merge_glossaries
 from lexweave.operators.reports import QualityGates
@@ -14,6 +19,7 @@ from lexweave.operators.rules import rule_matches
 from lexweave.operators.tokens import MissingModel, tokenize_with
 from lexweave.plans import cli, config
 from lexweave.plans.pipeline import ReportConfig, pipeline
+from lexweave.plans.timing import timeit
 from lexweave.schema import ENTITY
 from lexweave.sources import files, sinks
 from lexweave.streaming.stream import rolling_coverage, stream_documents
@@ -205,3 +211,36 @@ def test_rolling_coverage(spark):
     rows = spark.createDataFrame([(at, "MATCHED"), (at + dt.timedelta(minutes=59), "UNKNOWN"), (at + dt.timedelta(hours=1), "NEAR_MATCH")], "t timestamp, status string")
     got = rolling_coverage(rows, "t").orderBy("window_start").collect()
     assert [(r.window_start, r.total_items, r.processed_items) for r in got] == [(at, 2, 1), (at + dt.timedelta(hours=1), 1, 1)]
+
+
+def test_first_file_gates(spark, folder, monkeypatch, capsys):
+    monkeypatch.chdir(folder)
+    (folder / "other.txt").write_text("Nothing known here.", encoding="utf-8")
+    run = lambda *files, first=(): cli.main(["verify", *[str(folder / f) for f in files], "--source", str(folder / "g.json"), "--output-dir", str(folder / "o"), "--fail-on-quality-gate", "--min-coverage", "50", "--max-unknown", "50", *first], spark)
+    assert run("doc.txt", "other.txt") == 1 and run("doc.txt", "other.txt", first=["--first-file"]) == 0 and run("other.txt", "doc.txt", first=["--first-file"]) == 1
+    assert "coverage 50.0 % (2 of 4 terms)" in capsys.readouterr().out
+
+
+def test_scope_removes_its_tables(spark):
+    kept = durable(spark.range(3))
+    with scope():
+        gone = durable(spark.range(5))
+        assert gone.count() == 5
+        path = common._written[-1][1].removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path) and kept.count() == 3
+
+
+def test_timing(caplog):
+    @timeit
+    async def late():
+        await asyncio.sleep(0.02)
+        return 7
+
+    @timeit
+    def soon():
+        return 8
+
+    with caplog.at_level(logging.INFO, "lexweave"):
+        assert asyncio.run(late()) == 7 and soon() == 8
+    assert [r.args[0].rsplit(".")[-1] for r in caplog.records] == ["late", "soon"] and caplog.records[0].args[1] >= 0.02
