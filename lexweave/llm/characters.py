@@ -9,7 +9,8 @@ the script is settled by the letters that only one script has, then the longest
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -201,8 +202,14 @@ def values(text_entity: DataFrame, test_glossary: DataFrame) -> DataFrame:
     return a.unionByName(b).filter("value IS NOT NULL")
 
 
-def _skeletons(t: Transducer) -> tuple[dict[str, str], str]:
-    """The Latin letter in the skeleton of a word for every letter that may stand for one of either script, and letters that vanish."""
+_PLAIN, _RUSSIAN, _OTHER = 0xE000, 0xE100, 0xE200  # private blocks: plain Latin letters, plain Russian ones, other writings
+
+
+@cache
+def _skeletons() -> tuple[str, str]:
+    """A translation that turns every letter that may stand for one of either script into the Latin letter of its skeleton, in
+    the private block that says how it is written; what vanishes has no counterpart and stands at the end."""
+    t = Transducer()
     base, letters, gone = t.maps[""], {}, ""
     for c in {*map(chr, (*range(0xD800), *range(0xE000, 0x10000))), *(k for k in base if len(k) == 1)}:
         if t.word.fullmatch(c) and not regex.match(r"[\p{M}\p{Cf}]", c):
@@ -210,26 +217,34 @@ def _skeletons(t: Transducer) -> tuple[dict[str, str], str]:
             if not x:
                 gone += c
             elif (one := CYRILLIC_AS_LATIN.get(x, x) if x in t.either else GREEK_AS_LATIN.get(x, "")) and len(one) == 1:
-                letters[c] = one.lower()
-    return letters, gone
+                block = _PLAIN if c in LATIN_AS_RUSSIAN else _RUSSIAN if c in t.russian else _OTHER
+                letters[c] = chr(block + ord(one.lower()))
+    alike = "".join(sorted(letters))
+    hidden = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) == "Cf")
+    private = "".join(map(chr, range(_PLAIN, _OTHER + 0x100)))  # a value's own signs of these blocks part words
+    return alike + private + gone + hidden, "".join(letters[c] for c in alike) + " " * len(private)
 
 
-def _words_and_key() -> tuple[Column, Callable[[Column], Column]]:
-    """The words of ``value`` whose letters could be of either script, and the key of such a word: its skeleton."""
-    letters, gone = _skeletons(Transducer())
-    alike = "".join(sorted(letters))
-    words = F.regexp_extract_all(F.regexp_replace("value", rf"[\p{{Cf}}{gone}]", ""), F.lit(rf"(?<![\p{{L}}\p{{M}}])([{alike}\p{{M}}]++)(?!\p{{L}})"), F.lit(1))
-    return words, lambda w: F.translate(F.regexp_replace(w, r"\p{M}", ""), alike, "".join(letters[c] for c in alike))
+def _words() -> Column:
+    """The words of ``value`` whose letters could be of either script, translated (see :func:`_skeletons`). A translation and
+    ranges keep the pattern short: it runs over every value."""
+    private = rf"{chr(_PLAIN)}-{chr(_OTHER + 0xFF)}"
+    pattern = rf"(?<![\p{{L}}\p{{M}}{private}])([{private}\p{{M}}]++)(?!\p{{L}})"
+    return F.regexp_extract_all(F.translate("value", *_skeletons()), F.lit(pattern), F.lit(1))
+
+
+def _key(word: Column) -> Column:
+    """The skeleton of a translated word."""
+    ascii_letters = [chr(x) for x in range(97, 123)]
+    return F.translate(F.regexp_replace(word, r"\p{M}", ""), "".join(chr(b + ord(c)) for b in (_PLAIN, _RUSSIAN, _OTHER) for c in ascii_letters), "".join(ascii_letters) * 3)
 
 
 def script_votes(vals: DataFrame) -> DataFrame:
     """(k, script): the usual script of each word whose letters could be Latin or Russian, where it is written in more than
     one way (in one script, in both mixed, with Greek, accented or wide letters): what most of all values use of the two
     plain ones. Counts come from all values."""
-    words, key = _words_and_key()
-    russian, latin = "асеорхуАВСЕНКМОРТХУ", "aceopxyABCEHKMOPTXY"
-    is_latin, is_russian = F.col("w").rlike(f"^[{latin}]+$"), F.col("w").rlike(f"^[{russian}]+$")
-    counts = vals.select(F.explode(words).alias("w")).groupBy(key(F.col("w")).alias("k")).agg(F.count_if(is_latin).alias("l"), F.count_if(is_russian).alias("c"), F.count("*").alias("n"))
+    only = lambda block: F.col("w").rlike(f"^[{chr(block)}-{chr(block + 0xFF)}]+$")
+    counts = vals.select(F.explode(_words()).alias("w")).groupBy(_key(F.col("w")).alias("k")).agg(F.count_if(only(_PLAIN)).alias("l"), F.count_if(only(_RUSSIAN)).alias("c"), F.count("*").alias("n"))
     return counts.filter("l < n AND c < n AND l <> c").select("k", F.when(F.col("l") > F.col("c"), "L").otherwise("C").alias("script"))
 
 
@@ -248,8 +263,7 @@ def plain_values(vals: DataFrame, votes: DataFrame, bound: int = 50_000) -> Data
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(plain, pa.string())], names=[*kept, "plain"])
 
     if known is None:
-        words, key = _words_and_key()
-        asked = vals.select("value").distinct().select("value", F.explode(F.array_distinct(F.transform(words, key))).alias("k"))
+        asked = vals.select("value").distinct().select("value", F.explode(F.array_distinct(F.transform(_words(), _key))).alias("k"))
         found = asked.join(votes, "k").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("k", "script"))).alias("votes"))
         hot = heavy_keys(vals.groupBy("value").agg(F.count("*").alias("n")), "value")
         vals = split_join(vals, found, "value", hot, "left").select(*vals.columns, "votes")
