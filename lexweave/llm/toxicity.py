@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.common import norm_id, per_worker
+from lexweave.common import durable, norm_id, per_worker
 
 SIZES = (3, 4, 5)
 BITS = 19
@@ -213,6 +213,7 @@ class Model:
     w: np.ndarray
     b: float
     threshold: float
+    share: float = 1.0  # no larger part of a corpus is called abusive
 
     def passages(self, x: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and scores of the passages of folded texts."""
@@ -372,15 +373,16 @@ def refine(examples: Examples, use: np.ndarray, found: Suspicion, corpus: np.nda
 
 def abusive_share(corpus_worst: np.ndarray, labelled_worst: np.ndarray, labels: np.ndarray, edges: np.ndarray) -> float:
     """The part of all documents that is abusive, by adjusted count: at the cut that parts labelled documents best, as many
-    documents of the corpus lie above as the share makes with the rates of both labels. ``corpus_worst`` is a histogram."""
+    documents of the corpus lie above as the share makes with the rates of both labels. ``corpus_worst`` is a histogram. One
+    more clean document than seen is taken to lie above the cut, which matters where few are labelled. Where the corpus has
+    no more above the cut than clean documents have, the count tells nothing: then it is the labelled share."""
     above = np.append(np.cumsum(corpus_worst[::-1])[::-1], 0) / max(1, corpus_worst.sum())
-    rate = lambda y: np.append(np.cumsum(np.bincount(np.searchsorted(edges, labelled_worst[labels == y], side="right"), minlength=len(corpus_worst))[::-1])[::-1], 0) / max(1, (labels == y).sum())
-    tpr, fpr = rate(True), rate(False)
+    count = lambda y: np.append(np.cumsum(np.bincount(np.searchsorted(edges, labelled_worst[labels == y], side="right"), minlength=len(corpus_worst))[::-1])[::-1], 0)
+    tpr, fpr = count(True) / max(1, labels.sum()), (count(False) + 1) / (max(1, (~labels).sum()) + 2)
     k = int(np.argmax(tpr - fpr))
-    if tpr[k] <= fpr[k]:
+    if not above[k] > fpr[k] or not tpr[k] > fpr[k]:
         return float(labels.mean())
-    lowest = 1.0 / max(2, corpus_worst.sum())
-    return float(np.clip((above[k] - fpr[k]) / (tpr[k] - fpr[k]), lowest, 0.5))
+    return float(min((above[k] - fpr[k]) / (tpr[k] - fpr[k]), 0.5))
 
 
 def corpus_counts(documents: DataFrame, found: Suspicion | None = None, slices: int = 64) -> tuple[np.ndarray, int, np.ndarray]:
@@ -489,7 +491,7 @@ def fit(passages: Passages, labels: np.ndarray, ids: list[int], found: Suspicion
         part = make(fold != k)
         held[fold == k] = passages.worst(passages.scores(part.w, part.b))[fold == k]
     share = abusive_share(worst, passages.worst(passages.scores(found.w, 0.0)), labels, EDGES)
-    model.threshold = best_threshold(held, labels, share)
+    model.threshold, model.share = best_threshold(held, labels, share), share
     return model
 
 
@@ -504,22 +506,27 @@ def folds(labels: np.ndarray, ids: list[int]) -> np.ndarray:
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, source, score, abusive). Null, empty and too short texts score null and aren't abusive."""
-    shared = documents.sparkSession.sparkContext.broadcast((model.w, model.b, model.threshold))
+    """(doc_id, source, score, abusive). Null, empty and too short texts score null and aren't abusive. The scores are a
+    durable table first: no more of the documents are called abusive than the share of abuse that the model's counts showed,
+    so a cut from few labels can't run away."""
+    shared = documents.sparkSession.sparkContext.broadcast((model.w, model.b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b, threshold = shared.value
-        m, normalise = Model(w, b, threshold), per_worker("normaliser", Normaliser)
+        m, normalise = Model(*shared.value, 0.0), per_worker("normaliser", Normaliser)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             have = [k for k, t in enumerate(texts) if t]
             scores = np.full(len(texts), np.nan)
             if have:
                 scores[have] = np.concatenate([m.scores(block, normalise) for block in _blocks([texts[k] for k in have])])
-            known = ~np.isnan(scores)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64(), mask=~known), pa.array(known & (np.nan_to_num(scores, nan=-np.inf) > threshold))], names=["doc_id", "source", "score", "abusive"])
-
-    return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(run, "doc_id long, source string, score double, abusive boolean")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64(), mask=np.isnan(scores))], names=["doc_id", "source", "score"])
+
+    scored = documents.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(run, "doc_id long, source string, score double")
+    if model.share >= 1:
+        return scored.withColumn("abusive", F.coalesce(F.col("score") > model.threshold, F.lit(False)))
+    scored = durable(scored)
+    least = scored.agg(F.percentile_approx("score", 1.0 - model.share, 100_000)).first()[0]
+    return scored.withColumn("abusive", F.coalesce(F.col("score") > F.lit(max(model.threshold, model.threshold if least is None else least)), F.lit(False)))
 
 
 def rates(scored: DataFrame) -> DataFrame:

@@ -371,12 +371,20 @@ def test_passages_score_as_the_model_does():
 
 
 def test_share_of_abuse_by_adjusted_count():
-    edges = np.array([0.0])
-    labels = np.array([True] * 10 + [False] * 10)
-    worst = np.where(labels, 1.0, -1.0)
-    worst[0], worst[10] = -1.0, 1.0  # both rates are off by a tenth
-    assert abs(toxicity.abusive_share(np.array([860, 140]), worst, labels, edges) - 0.05) < 1e-9
-    assert toxicity.abusive_share(np.array([950, 50]), worst, labels, edges) == 1 / 1000
+    edges, labels = np.array([0.0]), np.arange(20_000) % 2 == 0
+    worst = np.where(labels, 1.0, -1.0) * np.where(np.arange(20_000) % 20 < 2, -1.0, 1.0)  # both rates are off by a tenth
+    assert abs(toxicity.abusive_share(np.array([860, 140]), worst, labels, edges) - 0.05) < 1e-3
+    assert toxicity.abusive_share(np.array([950, 50]), worst, labels, edges) == 0.5  # tells nothing: the labelled share
+    few = toxicity.abusive_share(np.array([860, 140]), np.where(labels, 1.0, -1.0)[:20], labels[:20], edges)
+    assert abs(few - (0.14 - 1 / 12) / (1 - 1 / 12)) < 1e-9
+
+
+def test_no_more_is_abusive_than_the_share(spark):
+    docs = spark.createDataFrame([(k, "word " * (k + 8), "s") for k in range(100)] + [(100, None, None)], "doc_id long, text string, source string")
+    w = np.full(1 << toxicity.BITS, 1.0, np.float32)
+    count = lambda share, cut: toxicity.score_documents(docs, toxicity.Model(w, 0.0, cut, share)).filter("abusive").count()
+    assert count(1.0, -9.0) == 100 and 0 < count(0.1, -9.0) <= 10 and count(0.1, 1e9) == 0
+    assert toxicity.score_documents(docs.limit(0), toxicity.Model(w, 0.0, 0.0, 0.1)).count() == 0
 
 
 def test_labelled_sample_is_bounded(spark):
