@@ -10,27 +10,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.common import per_worker
+from lexweave.common import partitions_for, per_worker
 
 # Stop words of the heuristic mode.
 STOP_WORDS = ("и", "в", "на", "с", "по", "для", "не", "от", "за", "до", "из", "о", "об", "and", "in", "on", "for", "not", "with", "at", "to", "of", "a", "the")
 PIECES = r"[\p{L}\p{N}_]+|[.!?]+|[^\p{L}\p{N}_.!?]+"
+# PIECES with what lies between words and stops taken into the next one, so half as many rows count the offsets.
+LED_PIECES, LEAD = r"[^\p{L}\p{N}_.!?]*+(?:[\p{L}\p{N}_]++|[.!?]++)", r"^[^\p{L}\p{N}_.!?]++"
 KEPT = r"^(?:[а-яёА-ЯЁa-zA-Z]{3,}|[.!?]+)\z"
+FINER = 4  # partitions of the texts for each of the session's: as rows their tokens take many times the room
 TOKEN_COLUMNS = ("doc_id", "tok_idx", "token", "lemma", "pos", "char_start", "char_end", "sent_id", "is_stop", "is_punct")
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, text), one partitioning by document for all that is made of the texts: plans that need them twice reuse it."""
-    return documents.filter("text <> ''").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text")).repartition("doc_id")
+    """(doc_id, text), one partitioning by document for all that is made of the texts: plans that need them twice reuse it.
+    Its partitions are a fixed number, as Spark would merge them by the size of the texts, and the windows over their tokens
+    wouldn't fit an executor."""
+    return documents.filter("text <> ''").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text")).repartition(FINER * partitions_for(documents), "doc_id")
 
 
 def tokenize(documents: DataFrame) -> DataFrame:
     """(TOKEN_COLUMNS) of documents(doc_id, text): words of three or more Latin or Russian letters. A run of .!? ends a
     sentence and is no token. Offsets count code points. Null and empty texts have no tokens."""
-    pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
+    pieces = F.regexp_extract_all("text", F.lit(LED_PIECES), F.lit(0))
     doc = Window.partitionBy("doc_id").orderBy("i")
     rows = texts_of(documents).select("doc_id", F.posexplode(pieces).alias("i", "token"))
     rows = rows.withColumn("char_end", F.sum(F.length("token")).over(doc).cast("int"))
+    rows = rows.withColumn("token", F.regexp_replace("token", LEAD, ""))
     rows = rows.filter(F.col("token").rlike(KEPT)).withColumn("stop", F.col("token").rlike("^[.!?]"))
     rows = rows.withColumn("sent_id", F.sum(F.col("stop").cast("int")).over(doc).cast("int")).filter("NOT stop")
     lemma = F.lower("token")

@@ -244,3 +244,17 @@ def test_fuzzy_queries_take_whole_tables(spark, tmp_path):
     assert sorted((r.doc_id, r.entity_pos) for r in QUERIES["verify_fuzzy_token_sort"](spark, str(tmp_path)).collect()) == [(1, 1), (2, 1), (3, 3)]
     got = {r.te_id: (r.entity_pos, r.status, r.matched_synonym) for r in QUERIES["verify_fuzzy_glossary"](spark, str(tmp_path)).collect()}
     assert got == {0: (5, "NEAR_MATCH", "network"), 1: (7, "NEAR_MATCH", "tree"), 2: (None, "UNKNOWN", None)}
+
+
+def test_texts_keep_their_partitions(spark):
+    """Small texts aren't merged into few partitions: their tokens take many times the room."""
+    docs = spark.createDataFrame([(k, f"Neural model {k} works.") for k in range(40)], "doc_id long, text string")
+    assert tokens.texts_of(docs).rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_offsets_past_what_lies_between(spark):
+    docs = spark.createDataFrame([(1, "  --  𝒳! Neural\n\n(model) x1 ... ёж Лес?!»  ")], "doc_id long, text string")
+    text = docs.first().text
+    rows = tokens.tokenize(docs).orderBy("tok_idx").collect()
+    assert [(r.token, r.sent_id) for r in rows] == [("Neural", 1), ("model", 1), ("Лес", 2)]
+    assert all(text[r.char_start : r.char_end] == r.token for r in rows)
