@@ -258,3 +258,21 @@ def test_offsets_past_what_lies_between(spark):
     rows = tokens.tokenize(docs).orderBy("tok_idx").collect()
     assert [(r.token, r.sent_id) for r in rows] == [("Neural", 1), ("model", 1), ("Лес", 2)]
     assert all(text[r.char_start : r.char_end] == r.token for r in rows)
+
+
+def test_cuts_of_long_texts(spark):
+    """Terms are cut out at any place of a text, those longer than the cuts included."""
+    text = " ".join(["alpha", "beta" * 80, "gamma"] * 5 + ["ёж", "delta"] * 200)
+    rows = docs(spark, text).drop("token", "i")
+    found = rules.rule_matches(tokens.tokenize(rows).withColumn("pos", F.lit("NOUN")), rows, patterns=[[{"POS": "NOUN"}, {"POS": "NOUN"}]]).collect()
+    words = [(m.start(), m.end()) for m in re.finditer("[a-z]{3,}", text)]
+    assert [r.text for r in sorted(found, key=lambda r: r.span_start)] == [text[a:z] for (a, _), (_, z) in zip(words, words[1:])]
+
+
+def test_fuzzy_queries_skip_keys_of_other_lengths(spark):
+    """A matcher looks only at keys whose length may do, and blocks get only the queries for which theirs may."""
+    m = verify.Matcher([(k, "x" * k) for k in range(1, 200)], "ratio", 85)
+    a, z, _ = m._window(100)
+    assert {m.keys[i][0] for i in range(a, z)} == {k for k in range(1, 200) if 200.0 * min(k, 100) / (k + 100) >= 85}
+    assert m.best("x" * 300) is None and m.best("x" * 99 + "y")[1:] == (99, "x" * 99) and m.best("x" * 230)[1] == 199
+    assert verify._ranges([(5, 10), (3, 4), (9, 45), (4, 6)], 20) == [(3, 5, 1), (9, 9, 3)]
