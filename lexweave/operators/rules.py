@@ -27,6 +27,7 @@ DEFAULT_PATTERNS = (
 # A letter for each universal part of speech.
 CODES = dict(zip("ADJ ADP ADV AUX CCONJ DET INTJ NOUN NUM PART PRON PROPN PUNCT SCONJ SYM VERB X SPACE".split(), "abcdefghijklmnopqs"))
 SPAN_TOKENS = 200_000  # tokens of the spans that one Arrow batch holds
+CUT = 256  # characters between the places from which a text is read, as reading at an offset passes all before it
 
 
 def compile_pattern(pattern) -> tuple[str, int, int | None]:
@@ -191,8 +192,11 @@ def rule_matches(tokens: DataFrame, documents: DataFrame | None = None, patterns
     text, sentence = F.array_join(F.transform("ts", lambda x: x["token"]), " "), F.lit("")
     if documents is not None:
         ends = F.split(F.col("doc_text"), r"(?<=[.!?])(?![.!?])")
-        rows = rows.join(texts_of(documents).select("doc_id", F.col("text").alias("doc_text")).withColumn("sentences", ends), "doc_id")
-        text = F.substring(F.col("doc_text"), F.col("char_start") + 1, F.element_at("ts", -1)["char_end"] - F.col("char_start"))
+        cuts = F.transform(F.sequence(F.lit(0), F.floor(F.length("doc_text") / CUT).cast("int")), lambda k: F.substring(F.col("doc_text"), k * CUT + 1, F.lit(2 * CUT)))
+        rows = rows.join(texts_of(documents).select("doc_id", F.col("text").alias("doc_text")).withColumns({"sentences": ends, "cuts": cuts}), "doc_id")
+        start, size = F.col("char_start"), F.element_at("ts", -1)["char_end"] - F.col("char_start")
+        near = F.substring(F.get("cuts", F.floor(start / CUT).cast("int")), F.pmod(start, F.lit(CUT)) + 1, size)
+        text = F.when(size <= CUT, near).otherwise(F.substring(F.col("doc_text"), start + 1, size))
         sentence = py_strip(F.coalesce(F.get("sentences", F.col("sent_id")), F.lit("")))
     if "sentence" in tokens.columns:
         rows = rows.join(tokens.groupBy("doc_id", "sent_id").agg(F.first("sentence", True).alias("_sentence")), ["doc_id", "sent_id"], "left")
