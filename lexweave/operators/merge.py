@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.common import durable
+from lexweave.common import durable, partitions_for
 from lexweave.functions.text import EDGE_CHARS, canonical_term
 
 ON_MATCH = ("skip", "merge-synonyms", "replace")
 ON_CONFLICT = ("keep-base", "keep-update", "report")
 MERGED = "side int, pos long, part int, id string, label string, synonyms array<string>, relations map<string,array<string>>, definition string, source string"
+ROWS_AT_ONCE = 10_000  # rows of the table that folds give at once
 OUTCOME_ONLY = ("kind", "conflict_type", "message", "base_id", "update_id", "raw_data")
 OUTCOME = MERGED + ", kind string, conflict_type string, message string, base_id string, update_id string, raw_data string"
 
@@ -157,23 +158,28 @@ def components(rows: DataFrame) -> DataFrame:
     return labels.select(F.pmod("node", F.lit(2)).cast("int").alias("side"), F.expr("node div 2").alias("pos"), F.col("c").alias("component"))
 
 
-def _dicts(pdf: pd.DataFrame) -> tuple[list[dict], list[dict]]:
-    both: tuple[list[dict], list[dict]] = ([], [])
-    for r in pdf.sort_values(["side", "pos"]).itertuples():
-        text = lambda x: None if x is None or x != x else x
-        both[r.side].append({"id": r.id, "label": r.label, "synonyms": [s for s in r.synonyms if s is not None], "relations": {k: list(v) for k, v in dict(r.relations).items()}, "definition": text(r.definition), "source": text(r.source), "order": (r.side, r.pos, 0)})
-    return both
+def _dicts(pdf: pd.DataFrame) -> list[dict]:
+    text = lambda x: None if x is None or x != x else x
+    return [
+        {"id": r.id, "label": r.label, "synonyms": [s for s in r.synonyms if s is not None], "relations": {k: list(v) for k, v in dict(r.relations).items()}, "definition": text(r.definition), "source": text(r.source), "order": (r.side, r.pos, 0)}
+        for r in pdf.itertuples()
+    ]
 
 
-def _rows(pdf: pd.DataFrame, policy: MergePolicy, compat: bool) -> pd.DataFrame:
-    merged, conflicts, outcomes = fold(*_dicts(pdf), policy, compat)
+def _rows(entities: list[dict], policy: MergePolicy, compat: bool) -> list[dict]:
+    """What the fold of these entities gives, as rows of OUTCOME."""
+    entities = sorted(entities, key=lambda e: e["order"])
+    merged, conflicts, outcomes = fold([e for e in entities if not e["order"][0]], [e for e in entities if e["order"][0]], policy, compat)
     none = {k: None for k in ("id", "label", "synonyms", "relations", "definition", "source", "kind", "conflict_type", "message", "base_id", "update_id", "raw_data")}
     place = lambda o: dict(zip(("side", "pos", "part"), o))
     out = [none | {k: v for k, v in e.items() if k != "order"} | place(e["order"]) | {"kind": "entity"} for e in merged]
     out += [none | {k: v for k, v in c.items() if k != "order"} | place(c["order"]) | {"kind": "conflict", "raw_data": json.dumps(c["raw_data"], ensure_ascii=False, sort_keys=True)} for c in conflicts]
-    out += [none | place(o["order"]) | {"kind": o["kind"]} for o in outcomes]
+    return out + [none | place(o["order"]) | {"kind": o["kind"]} for o in outcomes]
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
     cols = [c.split()[0] for c in OUTCOME.replace("map<string,array<string>>", "map").split(", ")]
-    return pd.DataFrame(out, columns=cols).astype(object)
+    return pd.DataFrame(rows, columns=cols).astype(object)
 
 
 def merge_glossaries(base: DataFrame, updates: DataFrame, policy: MergePolicy = MergePolicy(), compat: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,7 +189,7 @@ def merge_glossaries(base: DataFrame, updates: DataFrame, policy: MergePolicy =
     if rows.filter("id IS NULL OR label IS NULL").limit(1).count():
         raise ValueError("an entity needs an id and a label")
     if compat:
-        out = base.sparkSession.createDataFrame(_rows(rows.toPandas(), policy, True).to_dict("records"), OUTCOME)
+        out = base.sparkSession.createDataFrame(_rows(_dicts(rows.toPandas()), policy, True), OUTCOME)
     else:
         found = components(rows)
         alone = found.groupBy("component").agg(F.count("*").alias("members")).filter("members = 1").drop("members")
@@ -191,7 +197,7 @@ def merge_glossaries(base: DataFrame, updates: DataFrame, policy: MergePolicy =
         # What meets nothing stays or is added as it is; only what acts on each other is folded, a component at a time.
         single = parts.filter("alone").select("side", "pos", F.lit(0).alias("part"), *[c for c in rows.columns if c not in ("side", "pos")], *[F.lit(None).cast("string").alias(c) for c in OUTCOME_ONLY])
         added = single.filter("side = 1").select(*["side", "pos", "part"], *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("side", "pos")], *OUTCOME_ONLY)
-        folded = parts.filter("alone IS NULL").drop("alone").groupBy("component").applyInPandas(_typed_rows(policy), OUTCOME)
+        folded = parts.filter("alone IS NULL").drop("alone").repartition(partitions_for(rows), "component").sortWithinPartitions("component").mapInPandas(_folds(policy), OUTCOME)
         out = durable(folded.unionByName(single.withColumn("kind", F.lit("entity"))).unionByName(added.withColumn("kind", F.lit("added"))))
     merged = out.filter("kind = 'entity'").select("side", "pos", "part", "id", "label", "synonyms", "relations", "definition", "source")
     conflicts = out.filter("kind = 'conflict'").select("pos", "conflict_type", "message", "base_id", "update_id", "raw_data")
@@ -200,8 +206,25 @@ def merge_glossaries(base: DataFrame, updates: DataFrame, policy: MergePolicy =
     return merged, conflicts, summary
 
 
-def _typed_rows(policy: MergePolicy):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rows(pdf, policy, False)
+def _folds(policy: MergePolicy):
+    """Components in order, each folded as its last row has come. Their rows go out together, as most components are a few
+    entities and a table of each would cost far more than its fold."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held, last, out = [], None, []
+        for pdf in batches:
+            for c, e in zip(pdf["component"].tolist(), _dicts(pdf)):
+                if held and c != last:
+                    out += _rows(held, policy, False)
+                    held = []
+                    if len(out) >= ROWS_AT_ONCE:
+                        yield _frame(out)
+                        out = []
+                held.append(e)
+                last = c
+        if held:
+            out += _rows(held, policy, False)
+        for k in range(0, len(out), ROWS_AT_ONCE):
+            yield _frame(out[k : k + ROWS_AT_ONCE])
 
     return run

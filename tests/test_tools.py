@@ -244,3 +244,15 @@ def test_timing(caplog):
     with caplog.at_level(logging.INFO, "lexweave"):
         assert asyncio.run(late()) == 7 and soon() == 8
     assert [r.args[0].rsplit(".")[-1] for r in caplog.records] == ["late", "soon"] and caplog.records[0].args[1] >= 0.02
+
+
+def test_merge_folds_many_components_at_once():
+    """Components of one task come out in one table, also if they go on in the next batch."""
+    import pandas as pd
+
+    from lexweave.operators.merge import _folds
+
+    row = lambda c, side, pos, label: {"component": c, "side": side, "pos": pos, "id": f"{label}{side}", "label": label, "synonyms": [], "relations": {}, "definition": None, "source": None}
+    rows = pd.DataFrame([row(c, side, 2 * c + side, f"t{c}") for c in range(50) for side in (1, 0)])
+    got = list(_folds(MergePolicy())(iter([rows[:33], rows[33:]])))
+    assert len(got) == 1 and (got[0]["kind"] == "entity").sum() == 50 and (got[0]["kind"] == "updated").sum() == 50
