@@ -256,3 +256,29 @@ def test_merge_folds_many_components_at_once():
     rows = pd.DataFrame([row(c, side, 2 * c + side, f"t{c}") for c in range(50) for side in (1, 0)])
     got = list(_folds(MergePolicy())(iter([rows[:33], rows[33:]])))
     assert len(got) == 1 and (got[0]["kind"] == "entity").sum() == 50 and (got[0]["kind"] == "updated").sum() == 50
+
+
+@pytest.mark.parametrize("on_conflict", ON_CONFLICT)
+def test_merge_costs_what_comes_in(monkeypatch, on_conflict):
+    """An entity that all updates go into isn't gone through again for each of them."""
+    from lexweave.operators import merge
+
+    calls, real = [0], merge.canonical
+
+    def counted(s):
+        calls[0] += 1
+        return real(s)
+
+    monkeypatch.setattr(merge, "canonical", counted)
+    updates = [entity(f"u{k}", "hub", [f"synonym {k}", "other"]) for k in range(500)]
+    merged, _, outcomes = fold(ordered([entity("a", "hub", ["x"])], 0), ordered(updates, 1), MergePolicy(on_conflict=on_conflict))
+    assert merged[0]["synonyms"] == ["x", "synonym 0", "other", *[f"synonym {k}" for k in range(1, 500)]] and len(merged) == 1
+    assert {o["kind"] for o in outcomes} == {"updated"} and calls[0] < 20 * len(updates)
+
+
+def test_merged_synonyms_become_canonical_again():
+    """Each merge makes all synonyms canonical anew, which changes those whose edges leave a space behind."""
+    updates = [entity("u", "hub", ["! . a", "b"]), entity("v", "hub", ["c"]), entity("w", "hub", ["a"]), entity("x", "d", ["a"])]
+    for n, want in ((1, [" . a", "b"]), (2, [" a", "b", "c"]), (3, ["a", "b", "c"]), (4, ["a", "b", "c", "d"])):
+        merged, _, _ = fold(ordered([entity("h", "hub")], 0), ordered(updates[:n], 1), MergePolicy())
+        assert [e["synonyms"] for e in merged] == [want]
