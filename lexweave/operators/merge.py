@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.common import durable, partitions_for
-from lexweave.functions.text import EDGE_CHARS, canonical_term
+from lexweave.functions.text import EDGE_CHARS
 
 ON_MATCH = ("skip", "merge-synonyms", "replace")
 ON_CONFLICT = ("keep-base", "keep-update", "report")
 RELATIONS = "map<string,array<string>>"  # folds carry them along unread, as JSON: Python takes long to make maps
 MERGED = "side int, pos long, part int, id string, label string, synonyms array<string>, relations string, definition string, source string"
 ROWS_AT_ONCE = 10_000  # rows of the table that folds give at once
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+LINKED_AT_ONCE = 1_000_000  # linked entities whose components, two numbers each, are broadcast
 EDGES_AT_ONCE = 4_000_000  # edges whose components one task finds: some 200 MB there
 OUTCOME_ONLY = ("kind", "conflict_type", "message", "base_id", "update_id", "raw_data")
 OUTCOME = MERGED + ", kind string, conflict_type string, message string, base_id string, update_id string, raw_data string"
@@ -231,16 +233,22 @@ def _node() -> Column:
     return F.col("pos") * 2 + F.col("side")
 
 
+def _term(c: Column) -> Column:
+    """``canonical_term`` by one table of characters, as patterns take most of the time of this many terms."""
+    t = F.btrim(F.translate(F.lower(c), SPACES + "ё", " " * len(SPACES) + "е"))
+    return F.btrim(F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " +", " ")).otherwise(t), F.lit(EDGE_CHARS))
+
+
 def components(rows: DataFrame) -> DataFrame:
     """(node, component) of the entities that others are linked to by a shared canonical term, id, or id without a number at
     its end. A key that no update has links nothing, as entities of the base don't act on each other. Keys are hashes: two
     that fall together link what doesn't act on each other, which folds to the same. A key that links a third of all rows
     is folded map-side. Up to EDGES_AT_ONCE edges go to one task, more are spread over (``_spread``)."""
-    terms = F.transform(F.concat(F.array("label"), "synonyms"), lambda x: F.concat(F.lit("t:"), canonical_term(x)))
-    stem = F.concat(F.lit("i:"), F.regexp_replace("id", r"(?:_\d+)+$", ""))
-    keys = F.array_distinct(F.concat(F.filter(terms, lambda x: x != "t:"), F.array(stem)))
-    every = durable(rows.select("side", _node().alias("node"), F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("key")))
-    first = every.groupBy("key").agg(F.min("node").alias("to"), F.max("side").alias("met")).filter("met = 1").select("key", "to")
+    each = rows.select(_node().alias("node"), F.posexplode(F.concat(F.array("id", "label"), "synonyms")).alias("n", "s"))
+    key = F.when(F.col("n") == 0, F.concat(F.lit("i:"), F.regexp_replace("s", r"(?:_\d+)+$", ""))).otherwise(F.concat(F.lit("t:"), F.coalesce(_term(F.col("s")), F.lit(""))))
+    # Hashed before the empty ones go, as a filter on the text would make it a second time.
+    every = durable(each.select("node", F.xxhash64(key).alias("key"))).filter(F.col("key") != F.xxhash64(F.lit("t:")))
+    first = every.groupBy("key").agg(F.min("node").alias("to"), F.max(F.col("node") % 2).alias("met")).filter("met <> 0").select("key", "to")
     edges = durable(every.join(first, "key").filter("node <> to").select("node", "to"))
     if edges.count() > EDGES_AT_ONCE:
         return _spread(edges)
@@ -320,7 +328,9 @@ def merge_glossaries(base: DataFrame, updates: DataFrame, policy: MergePolicy =
     if compat:
         out = base.sparkSession.createDataFrame(list(_rows(sorted(_dicts(rows.toPandas()), key=itemgetter("order")), policy, True)), OUTCOME)
     else:
-        parts = durable(rows.withColumn("node", _node()).join(components(rows), "node", "left").drop("node"))
+        found = components(rows)
+        few = found.count() <= LINKED_AT_ONCE
+        parts = durable(rows.withColumn("node", _node()).join(F.broadcast(found) if few else found, "node", "left").drop("node"))
         # What meets nothing stays or is added as it is; only what acts on each other is folded, a component at a time.
         single = parts.filter("component IS NULL").select("side", "pos", F.lit(0).alias("part"), *[c for c in rows.columns if c not in ("side", "pos")], *[F.lit(None).cast("string").alias(c) for c in OUTCOME_ONLY])
         added = single.filter("side = 1").select(*["side", "pos", "part"], *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("side", "pos")], *OUTCOME_ONLY)

@@ -282,3 +282,42 @@ def test_merged_synonyms_become_canonical_again():
     for n, want in ((1, [" . a", "b"]), (2, [" a", "b", "c"]), (3, ["a", "b", "c"]), (4, ["a", "b", "c", "d"])):
         merged, _, _ = fold(ordered([entity("h", "hub")], 0), ordered(updates[:n], 1), MergePolicy())
         assert [e["synonyms"] for e in merged] == [want]
+
+
+def test_long_chain_takes_no_more_tables(spark, monkeypatch):
+    """Components of any length are found in one task; a number of edges beyond its bound gives the same by rounds."""
+    from lexweave.operators import merge
+
+    made, real = [], merge.durable
+    monkeypatch.setattr(merge, "durable", lambda df: made.append(1) or real(df))
+    chain = [entity(f"u{'xyz'[k % 3]}{k}u", f"t{(k * 37) % 100}", [f"t{((k + 1) * 37) % 100}"]) for k in range(60)]
+    rows = merge._tagged(frame(spark, [entity("b", "far")]), 0).unionByName(merge._tagged(frame(spark, chain), 1))
+    found = sorted(tuple(r) for r in merge.components(rows).collect())
+    assert found == [(2 * k + 1, 1) for k in range(60)] and len(made) <= 3
+    monkeypatch.setattr(merge, "EDGES_AT_ONCE", 0)
+    assert sorted(tuple(r) for r in merge.components(rows).collect()) == found and len(made) > 6
+    assert merge.components(rows.filter("side = 0")).count() == 0
+
+
+def test_keys_of_components_are_canonical_terms(spark):
+    from lexweave.functions import text
+    from lexweave.operators import merge
+
+    words = [w for c in [*map(chr, range(1, 0x3002)), "﻿", "𐐀"] for w in (c, f"A{c}{c}b", f"{c}. Ё {c}")] + ["! . a  b ..", "", None]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", merge._term(merge.F.col("w")).alias("t"))
+    same = got.withColumn("c", text.canonical_term(merge.F.col("w")))
+    assert [tuple(r) for r in same.filter("NOT (t <=> c)").collect()] == []
+
+
+def test_merge_of_many_linked_entities_is_the_same(spark, monkeypatch):
+    """Neither the bound of what is broadcast nor that of one task's edges changes the result."""
+    from lexweave.operators import merge
+
+    r = random.Random(5)
+    make = lambda n: [entity(r.choice("xyz") + r.choice(["", "7", "_2"]), r.choice("abcdefgh") + r.choice("klm"), [r.choice("abcdefgh") + r.choice("klm")]) for _ in range(n)]
+    base, updates = frame(spark, make(8)), frame(spark, make(20))
+    results = lambda: [[tuple(r) for r in df.orderBy(*df.columns[:3]).drop("relations").collect()] for df in merge_glossaries(base, updates)]
+    want = results()
+    for bound in ("LINKED_AT_ONCE", "EDGES_AT_ONCE"):
+        monkeypatch.setattr(merge, bound, 0)
+        assert results() == want
