@@ -7,7 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +57,16 @@ def release(kept: int = 0) -> None:
             return
 
 
+def durable_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives as a :func:`durable` table; those that ``make`` wrote on the way are removed once it is there."""
+    before = len(_written)
+    out = durable(make())
+    last = _written.pop()
+    release(before)
+    _written.append(last)
+    return out
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables written by :func:`durable` inside are removed at the end: for sessions that run many queries. What they give

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.common import durable, partitions_for
+from lexweave.common import durable, durable_alone, partitions_for
 from lexweave.functions.text import EDGE_CHARS
 
 ON_MATCH = ("skip", "merge-synonyms", "replace")
@@ -328,14 +328,7 @@ def merge_glossaries(base: DataFrame, updates: DataFrame, policy: MergePolicy =
     if compat:
         out = base.sparkSession.createDataFrame(list(_rows(sorted(_dicts(rows.toPandas()), key=itemgetter("order")), policy, True)), OUTCOME)
     else:
-        found = components(rows)
-        few = found.count() <= LINKED_AT_ONCE
-        parts = durable(rows.withColumn("node", _node()).join(F.broadcast(found) if few else found, "node", "left").drop("node"))
-        # What meets nothing stays or is added as it is; only what acts on each other is folded, a component at a time.
-        single = parts.filter("component IS NULL").select("side", "pos", F.lit(0).alias("part"), *[c for c in rows.columns if c not in ("side", "pos")], *[F.lit(None).cast("string").alias(c) for c in OUTCOME_ONLY])
-        added = single.filter("side = 1").select(*["side", "pos", "part"], *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("side", "pos")], *OUTCOME_ONLY)
-        linked = parts.filter("component IS NOT NULL").repartition(partitions_for(rows), "component").sortWithinPartitions("component", "side", "pos")
-        out = durable(linked.mapInPandas(_folds(policy, in_order=True), OUTCOME).unionByName(single.withColumn("kind", F.lit("entity"))).unionByName(added.withColumn("kind", F.lit("added"))))
+        out = durable_alone(lambda: _folded(rows, policy))
     merged = out.filter("kind = 'entity'").select("side", "pos", "part", "id", "label", "synonyms", F.from_json("relations", RELATIONS).alias("relations"), "definition", "source")
     conflicts = out.filter("kind = 'conflict'").select("pos", "conflict_type", "message", "base_id", "update_id", "raw_data")
     n = lambda k: F.count_if(F.col("kind") == k)
@@ -343,6 +336,23 @@ def merge_glossaries(base: DataFrame, updates: DataFrame, policy: MergePolicy =
     return merged, conflicts, summary
 
 
+def _folded(rows: DataFrame, policy: MergePolicy) -> DataFrame:
+    """Rows of OUTCOME. What meets nothing stays or is added as it is; only what acts on each other is folded, a component at
+    a time."""
+
+    def placed() -> DataFrame:
+        found = components(rows)
+        few = found.count() <= LINKED_AT_ONCE
+        return rows.withColumn("node", _node()).join(F.broadcast(found) if few else found, "node", "left").drop("node")
+
+    parts = durable_alone(placed)
+    own = [c for c in rows.columns if c not in ("side", "pos")]
+    single = parts.filter("component IS NULL").select("side", "pos", F.lit(0).alias("part"), *own, *[F.lit(None).cast("string").alias(c) for c in OUTCOME_ONLY])
+    added = single.filter("side = 1").select("side", "pos", "part", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in own], *OUTCOME_ONLY)
+    linked = parts.filter("component IS NOT NULL").repartition(partitions_for(rows), "component").sortWithinPartitions("component", "side", "pos")
+    return linked.mapInPandas(_folds(policy, in_order=True), OUTCOME).unionByName(single.withColumn("kind", F.lit("entity"))).unionByName(added.withColumn("kind", F.lit("added")))
+
+
 def _folds(policy: MergePolicy, in_order: bool = False):
     """Folds of components whose rows come together. ``in_order``: by side and place, so that updates which go into others
     needn't be held. What they give goes out together, as most components are a few entities and a table of each would cost

@@ -321,3 +321,41 @@ def test_merge_of_many_linked_entities_is_the_same(spark, monkeypatch):
     for bound in ("LINKED_AT_ONCE", "EDGES_AT_ONCE"):
         monkeypatch.setattr(merge, bound, 0)
         assert results() == want
+
+
+def test_folds_in_order_hold_no_update_that_went_into_another(monkeypatch):
+    """What came of updates goes out while their component still comes in."""
+    import pandas as pd
+
+    from lexweave.operators import merge
+
+    monkeypatch.setattr(merge, "ROWS_AT_ONCE", 10)
+    came = []
+
+    def batches():
+        for k in range(10):
+            came.append(k)
+            yield pd.DataFrame([{"component": 7, "side": 1, "pos": 5 * k + j, "id": f"u{k}{j}", "label": "hub", "synonyms": [], "relations": "{}", "definition": None, "source": None} for j in range(5)])
+
+    out = merge._folds(MergePolicy(), in_order=True)(batches())
+    first = next(out)
+    assert len(first) == 10 and set(first["kind"]) == {"added", "updated"} and len(came) < 5
+    assert [k for pdf in out for k in pdf["kind"]].count("entity") == 1 and len(came) == 10
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_merge_keeps_relations(spark, compat):
+    relations = {"part_of": ["a", 'b "q" \\ ё\n'], "": [], "used_in": ["", None]}
+    base = [entity("a", "one") | {"relations": relations}, entity("b", "two") | {"relations": None}]
+    updates = [entity("c", "One") | {"relations": {"x": ["y"]}}, entity("d", "three") | {"relations": relations}]
+    merged = merge_glossaries(frame(spark, base), frame(spark, updates), MergePolicy(), compat)[0].orderBy("side", "pos")
+    assert dict(merged.dtypes)["relations"] == "map<string,array<string>>"
+    assert [r.relations for r in merged.collect()] == [relations, {}, relations]
+
+
+def test_merge_leaves_one_table(spark):
+    """Tables on the way to a merge's outcome are removed as soon as they aren't needed."""
+    before = len(common._written)
+    merged, conflicts, summary = merge_glossaries(frame(spark, [entity("a", "one")]), frame(spark, [entity("b", "one"), entity("a", "x"), entity("c", "new")]))
+    assert len(common._written) == before + 1
+    assert (merged.count(), conflicts.count(), summary.first().added) == (2, 1, 1)
